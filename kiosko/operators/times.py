@@ -226,3 +226,14 @@ def stated_times(raw: DataFrame, madrid: DataFrame, registry: DataFrame) -> Data
     zones = known.select("zone").union(registry.sparkSession.createDataFrame([("Europe/Madrid",)], "zone string"))
     rows = instants(a.unionByName(b), zones)
     return rows.where(F.col("utc_second").isNotNull()).select("origin", "row_id", "field", "utc_second")
+
+
+def stated_dates(values: DataFrame, text: str = "text", source: str = "source_id") -> DataFrame:
+    """``values`` with ``stated_date`` of texts that state a date alone (null for all others)."""
+    order = month_first_by_source(values, source, text).withColumnsRenamed({source: "_t_source", "month_first": "_t_month_first"})
+    rows = values.join(F.broadcast(order), values[source].eqNullSafe(order["_t_source"]), "left").drop("_t_source")
+    t = F.trim(F.col(text))
+    plain = r"^(\d{4})-?(\d{2})-?(\d{2})$"
+    swapped = F.when(F.coalesce("_t_month_first", F.lit(False)), F.regexp_replace(t, r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", "$3-$1-$2")).otherwise(F.regexp_replace(t, r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", "$3-$2-$1"))
+    iso = F.when(t.rlike(plain), F.regexp_replace(t, plain, "$1-$2-$3")).when(t.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"), swapped)
+    return rows.withColumn("_t_iso", iso).withColumn("stated_date", F.expr("try_cast(_t_iso as date)")).drop("_t_iso", "_t_month_first")
