@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from kiosko.session import checkpointed
 
 #: Evidence of the tiers, highest first, and other spellings of their names.
-EVIDENCE = {"ics": 0.95, "jsonld": 0.95, "jsonld_index": 0.95, "api": 0.90, "wp_rest": 0.85, "wrapper": 0.70, "rss": 0.55, "prose": 0.35}
+EVIDENCE = {"ics": 0.95, "jsonld": 0.95, "jsonld_index": 0.95, "api": 0.92, "wp_rest": 0.88, "wrapper": 0.70, "rss": 0.60, "prose": 0.40}
 SPELLINGS = {"ical": "ics", "icalendar": "ics", "json_ld": "jsonld", "ld_json": "jsonld", "json_ld_index": "jsonld_index", "rss2": "rss", "atom": "rss", "css_wrapper": "wrapper", "wordpress": "wp_rest", "wprest": "wp_rest", "rest": "wp_rest"}
 #: Texts that say that a value is not known, in lower case.
 PLACEHOLDERS = (
