@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,14 +49,17 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return max(best, *(100.0 * (1 - (gap + len(t)) / (len(both) + base + len(t))) for t in (x, y)))
 
 
-@F.pandas_udf("double")
-def _token_set(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)])
+def _each(f: Callable[[str | None, str | None], float]) -> Callable[[Column | str, Column | str], Column]:
+    """A function of two texts over Arrow batches; nulls stay null."""
+
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return lambda a, b: F.pandas_udf(run, "double")(a, b)
 
 
-@F.pandas_udf("double")
-def plain_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)])
+_token_set = _each(token_set_ratio)
+plain_ratio = _each(ratio)
 
 
 def title_similarity(a: Column, b: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -15,19 +16,18 @@ from kiosko.functions import rules
 BLOCK = r"(?i)<\s*/?\s*(br|p|div|li|tr|h[1-6])\b[^>]*>"
 
 
-@F.pandas_udf("string")
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKC", x) if c == "\n" or unicodedata.category(c)[0] != "C"))
+def _each(f: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A function of a text over Arrow batches; nulls stay null."""
 
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else f(x))
 
-@F.pandas_udf("string")
-def _unmarked(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+    return lambda c: F.pandas_udf(run, "string")(c)
 
 
-@F.pandas_udf("string")
-def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else html.unescape(x))
+_nfkc = _each(lambda x: "".join(c for c in unicodedata.normalize("NFKC", x) if c == "\n" or unicodedata.category(c)[0] != "C"))
+_unmarked = _each(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)))
+_unescape = _each(html.unescape)
 
 
 def squeezed(c: Column) -> Column:
