@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,11 +25,15 @@ def occurrence_id(event: Column, start_iso: Column) -> Column:
     return short(F.concat_ws("|", event, start_iso))
 
 
+def _own_words(names: pd.Series, cities: pd.Series) -> pd.Series:
+    return pd.Series([" ".join(w for w in n.split() if w not in set(c.split())) or n for n, c in zip(names, cities)])
+
+
 def venue_key(name: Column, city: Column) -> Column:
     """Of the name's words without the city's; order and repetitions of words count."""
-    words = F.split(text.normalize_title(name), " ")
-    own = F.filter(words, lambda w: ~F.array_contains(F.split(text.normalize_title(F.coalesce(city, F.lit(""))), " "), w))
-    return short(F.concat_ws("|", F.when(F.size(own) > 0, F.concat_ws(" ", own)).otherwise(F.concat_ws(" ", words)), F.lower(F.coalesce(city, F.lit("")))))
+    blank = F.lit("")
+    own = F.pandas_udf(_own_words, "string")(text.normalize_title(F.coalesce(name, blank)), text.normalize_title(F.coalesce(city, blank)))
+    return short(F.concat_ws("|", own, F.lower(F.coalesce(city, blank))))
 
 
 def geo_key(lat: Column, lon: Column) -> Column:
