@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiosko.session import checkpointed
+
 LENGTHS = (3, 5, 8, 12, 17)
 #: What sources hang on a text that they cut.
 HUNG_ON = (
@@ -41,6 +43,7 @@ _hung, _broken = re.compile(HUNG_ON), re.compile(BROKEN)
 #: Weights of a length that stands out, of something hung on and of a tag line, and odds against a cut before any evidence.
 SPIKE_WEIGHT, HUNG_WEIGHT, TAIL_WEIGHT, PRIOR = 1.0, 1.5, 6.0, -2.2
 FEW = 4
+BITS = 1 << 25
 FLUSH = 400_000
 
 
@@ -65,39 +68,60 @@ def values(events: DataFrame, registry: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(lang), rows["source"] == lang["_id"], "left").drop("_id")
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(field, context, ends, goes_on) over all positions of the texts of a task."""
-    ends: Counter = Counter()
-    on: Counter = Counter()
-
-    def flush() -> pd.DataFrame:
-        keys = [*{*ends, *on}]
-        out = pd.DataFrame({"field": [k[0] for k in keys], "context": [k[1] for k in keys], "ends": [ends[k] for k in keys], "goes_on": [on[k] for k in keys]})
-        ends.clear()
-        on.clear()
-        return out
-
-    for b in batches:
-        for field, text in zip(b["field"], b["text"]):
-            s = "^" + normal(core(text))
-            n = len(s)
-            for i in range(2, n + 1):
-                if s[i - 1] in " .!?\n":
-                    continue
-                into = ends if i == n or s[i] in ".!?\n" or (field == "title" and _part.match(s, i)) else on
-                for k in LENGTHS:
-                    if k > i:
-                        break
-                    into[field, s[i - k : i]] += 1
-            if len(on) > FLUSH:
-                yield flush()
-    yield flush()
-
-
-def contexts(rows: DataFrame) -> DataFrame:
-    """``field, context, ends, goes_on`` over all values."""
-    part = rows.select("field", "text").mapInPandas(_count, "field string, context string, ends long, goes_on long")
-    return part.groupBy("field", "context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+def asked_bits(asked: DataFrame) -> bytes:
+    """A set of BITS bits in which the hashes of the asked contexts are set: of one size whatever the table's.
+
+    Tasks pass over contexts whose bit is unset, as nobody asks for them. A full set passes over none; counts stay whole.
+    """
+    at = F.pmod(F.col("context"), F.lit(BITS)) + 1
+    parts = asked.select(F.bitmap_bucket_number(at).alias("n"), F.bitmap_bit_position(at).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits"))
+    out = bytearray(BITS // 8)
+    for r in parts.collect():  # at most BITS / 32768 rows
+        out[(r.n - 1) * 4096 : r.n * 4096] = r.bits
+    return bytes(out)
+
+
+def contexts(rows: DataFrame, bits: bytes) -> DataFrame:
+    """``context, ends, goes_on`` over all values, for the contexts (hashes of field and text) whose bit is set."""
+    held = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        ends: Counter = Counter()
+        on: Counter = Counter()
+        is_set = held.value
+
+        def flush() -> pd.DataFrame:
+            out = []
+            for k in {*ends, *on}:
+                h = xxhash.xxh64_intdigest(k.encode(), seed=42)
+                h = h - (1 << 64) if h >> 63 else h
+                at = h % BITS
+                if is_set[at // 8] >> (at % 8) & 1:
+                    out.append((h, ends[k], on[k]))
+            ends.clear()
+            on.clear()
+            return pd.DataFrame(out, columns=["context", "ends", "goes_on"])
+
+        for b in batches:
+            for field, text in zip(b["field"], b["text"]):
+                s = "^" + normal(core(text))
+                n, title = len(s), field == "title"
+                for i in range(2, n + 1):
+                    if s[i - 1] in " .!?\n":
+                        continue
+                    into = ends if i == n or s[i] in ".!?\n" or (title and _part.match(s, i)) else on
+                    for k in LENGTHS:
+                        if k > i:
+                            break
+                        into[field[0] + s[i - k : i]] += 1
+                if len(on) > FLUSH:
+                    yield flush()
+        yield flush()
+
+    part = rows.select("field", "text").mapInPandas(count, "context long, ends long, goes_on long")
+    return part.groupBy("context").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
 
 
 def length_odds(rows: DataFrame) -> DataFrame:
@@ -119,10 +143,10 @@ def judged(events: DataFrame, registry: DataFrame) -> DataFrame:
     text = text.withColumn("broken", F.rtrim(plain).rlike(BROKEN)).withColumn("whole", F.col("core").rlike(WHOLE) & ~F.col("broken") | (F.col("core") == ""))
     size = length_odds(rows).withColumnsRenamed({"source": "_s", "field": "_f"})
     text = text.withColumn("_z", F.length(F.rtrim("text"))).join(size, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")) & (F.col("_z") == F.col("size")), "left")
-    open_ = text.where(~F.col("whole")).select("key", "field", F.regexp_replace(F.lower(F.concat(F.lit("^"), F.col("core"))), r"\d", "0").alias("c"))
-    asked = open_.select("key", "field", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.right("c", F.lit(k)).alias("context")) for k in LENGTHS])).alias("x"))
-    asked = asked.select("key", "field", "x.k", "x.context").where(F.length("context") == F.col("k"))
-    got = asked.join(contexts(rows), ["field", "context"])
+    open_ = text.where(~F.col("whole")).select("key", F.substring("field", 1, 1).alias("f"), F.regexp_replace(F.lower(F.concat(F.lit("^"), F.col("core"))), r"\d", "0").alias("c"))
+    tails = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.concat("f", F.right("c", F.lit(k)))).alias("context"), (F.length("c") >= k).alias("long")) for k in LENGTHS])
+    asked = checkpointed(open_.select("key", F.explode(tails).alias("x")).where("x.long").select("key", "x.k", "x.context"))
+    got = asked.join(contexts(rows, asked_bits(asked)), "context")
     # the value's own end is left out of the count
     known = got.select("key", "k", (F.col("ends") - 1).alias("e"), F.col("goes_on").alias("g")).where(F.col("e") + F.col("g") >= F.when(F.col("k") > 8, 2).when(F.col("k") == 8, 10).when(F.col("k") == 5, 25).otherwise(FEW))
     smooth = F.when(F.col("k") > 8, 0.3).otherwise(1.0)  # short contexts tell less
