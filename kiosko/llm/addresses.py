@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiosko.session import checkpointed
+
 #: Street types by country, each with its spellings, and whether they are endings or words.
 ENDINGS = {
     "NL": {"straat": "straat strt str", "gracht": "gracht grcht gr", "singel": "singel sngl sgl", "laan": "laan ln", "plein": "plein pln pl", "weg": "weg wg", "kade": "kade kd"},
@@ -169,7 +171,7 @@ def _within_one_edit(a: str, b: str) -> F.Column:
 
 def locations(venues: DataFrame, registry: DataFrame) -> DataFrame:
     """``id, location``: the rows whose address denotes a location, with a key for it."""
-    p = parsed(venues, registry)
+    p = checkpointed(parsed(venues, registry))
     # the town of a postcode, for rows that name none
     seen = p.where("town is not null and postcode is not null").groupBy("postcode", "town").agg(F.count("*").alias("n"))
     usual = seen.groupBy("postcode").agg(F.max_by("town", F.struct("n", "town")).alias("_town"))
