@@ -38,21 +38,22 @@ FITTING = set(LETTERS) | {c for x in LETTERS for c in x.upper() if len(x.upper()
 _L, _U = "a-zß-öø-ÿœšž", "A-ZÀ-ÖØ-ÞŒŠŽŸ"
 _W = _L + _U
 _ODD = "\u0080-\u009f¢£¤¥¦¨©ª«¬­®¯°±²³´µ¶·¸¹º»¼½¾¿¡×÷†‡•ˆ˜‰‹›–—‘“”„‚…™€∀-⋿⌀-⏿─-▟Ͱ-ϿЀ-ӿĂĽľĹĺŁłđˀ-˟ﬁﬂ◊√"
-#: Signs that no pass needs to explain: only a wrong decoding leaves them. Java and Python read it alike.
+#: Signs that no pass needs to explain: only a wrong decoding leaves them. Java and Python read it alike. Every
+#: alternative begins at the odd sign itself, so that plain letters are passed over at the first test.
 LEFT_OVER = (
-    "�|[\u0080-\u009f­]"
-    f"|[{_L}A-Z][¢£¤¥¦¨©¬®¯±²³´µ¶·¸¹º»¼½¾¿¡×÷†‡•ˆ˜‰‹›–—‘“”„‚…™€ª«][{_L}]"
-    f"|[a-z][ÃÂÕÔÊËÁÀÈÉÍÎÏÌÓÒÚÛÙÄÅÇÑÖØÜ][a-z]"
-    "|(?<![A-Za-z])[ÃÂ](?![A-Za-zÀ-ÿ])|[a-z][ÃÂ](?![A-ZÀ-Þ])"
-    f"|[A-Z][à-öø-þ][A-Z]|[a-z][‚ŠŽ„]|[ˆƒ]|[A-Za-z]œ(?![ui])|(?<![A-Za-zÀ-ÿ0-9$€£])[¢¤][a-z]|[{_L}][†‡¡¢£¤](?![0-9A-Za-z])"
-    "|¨[A-Z]|(?<![A-Za-zÀ-ÿ])[ÀÁ][A-Z][a-z]"
-    "|[a-zà-ÿ]\\?[a-zà-ÿ]|[a-z] \\? \\d"
+    "�|[\u0080-\u009f\u00ad]"
+    f"|(?<=[{_L}A-Z])[¢£¤¥¦¨©¬®¯±²³´µ¶·¸¹º»¼½¾¿¡×÷†‡•ˆ˜‰‹›–—‘“”„‚…™€ª«](?=[{_L}])"
+    "|(?<=[a-z])[ÃÂÕÔÊËÁÀÈÉÍÎÏÌÓÒÚÛÙÄÅÇÑÖØÜ](?=[a-z])"
+    "|(?<![A-Za-z])[ÃÂ](?![A-Za-zÀ-ÿ])|(?<=[a-z])[ÃÂ](?![A-ZÀ-Þ])"
+    f"|(?<=[A-Z])[à-öø-þ](?=[A-Z])|(?<=[a-z])[‚ŠŽ„]|[ˆƒ]|(?<=[A-Za-z])œ(?![ui])|(?<![A-Za-zÀ-ÿ0-9$€£])[¢¤](?=[a-z])|(?<=[{_L}])[†‡¡¢£¤](?![0-9A-Za-z])"
+    "|¨(?=[A-Z])|(?<![A-Za-zÀ-ÿ])[ÀÁ](?=[A-Z][a-z])"
+    "|(?<=[a-zà-ÿ])\\?(?=[a-zà-ÿ])|(?<=[a-z] )\\?(?= \\d)"
     "|[─-▟Ѐ-ӿΑ-Ρ]"
 )
 _BROKEN = "â€|Ã[^A-Za-z ]|Â[^A-Za-z ]|Ă[^A-Za-z ]|√|‚Ä|‚Ç|ÔÇ|Γ[\u0080-￿]"
 _SEVEN = r"\+[A-Za-z0-9+/]{2,}-"
 #: One pattern for the JVM: every value that a pass may change or mark matches it.
-SUSPICIOUS = f"{LEFT_OVER}|{_BROKEN}|{_SEVEN}|[\u0080-￿]{{2}}"
+SUSPICIOUS = f"(?=[\u0080-\uffff?+])(?:{LEFT_OVER}|{_BROKEN}|{_SEVEN}|[\u0080-\uffff]{{2}})"
 _left, _seven, _high = re.compile(LEFT_OVER), re.compile(_SEVEN), re.compile("[\u0080-\U0010ffff]+")
 _quoted = re.compile(f"[{_W}]['’]?[{_W}]")
 
