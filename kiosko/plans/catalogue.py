@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kiosko.functions import keys, rules, similarity, text
 from kiosko.operators import audit, geography, graph, measures, reading, recurrence, resolve, state, times
 from kiosko.session import checkpointed, table
-from kiosko.sources import payloads
+from kiosko.sources import payloads, probe
 
 NOW = 1785542400  # 2026-08-01T00:00:00Z, the clock of all queries
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -503,6 +503,34 @@ def query_ladder(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", F.explode(geography.ladder(geography.clean_name(F.col("name"), F.trim("city")), F.col("address"), F.trim("city"))).alias("query"))
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Event pages, and raw descriptions as pages of their own."""
+    a = table(spark, d, "tudelft_events").select("url", F.col("html").alias("body"))
+    return a.union(table(spark, d, "raw_records").where("description is not null").select(F.concat(F.lit("r"), "ordinal"), "description"))
+
+
+_RE = {k: getattr(probe, k).removeprefix("(?i)") for k in ("TICKETS", "SCRIPTED", "SOCIAL", "DATED")}
+
+
+@query(f"""WITH p AS (SELECT html AS b FROM tudelft_events UNION ALL SELECT description FROM raw_records WHERE description IS NOT NULL), t AS (SELECT b, regexp_replace(regexp_replace(b, '<script.*?</script>|<style.*?</style>', ' ', 'gis'), '<[^>]+>', ' ', 'g') AS x FROM p),
+m AS (SELECT b, x, regexp_matches(x, '\\b(elke|iedere)\\s+(maandag|dinsdag|woensdag|donderdag|vrijdag|zaterdag|zondag)\\b|\\blive\\s*muziek\\b|\\bagenda\\b|\\bprogramma\\b|\\boptreden\\b|\\bborrel\\b|\\bpubquiz\\b|\\bworkshop\\b|\\bconcert\\b|\\bvoorstelling\\b|\\bexpositie\\b|\\bfestival\\b', 'i') AS told FROM t)
+SELECT CASE WHEN regexp_matches(b, '{_RE["TICKETS"]}', 'i') THEN 'tickets elsewhere' WHEN told AND regexp_matches(x, '{_RE["DATED"]}', 'i') THEN 'prose with dates' WHEN told THEN 'prose without dates' WHEN regexp_matches(b, '{_RE["SCRIPTED"]}', 'i') THEN 'rendered by script' WHEN regexp_matches(b, '{_RE["SOCIAL"]}', 'i') THEN 'social media only' ELSE 'nothing about events' END AS verdict,
+count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6)::DOUBLE AS share FROM m GROUP BY 1""")
+def census_classify(spark: SparkSession, d: str) -> DataFrame:
+    return probe.census(_pages(spark, d))
+
+
+@query("SELECT url, 'jsonld' AS tier, count(*) AS pages FROM tudelft_events WHERE contains(html, 'ld+json') GROUP BY 1")
+def probe_best(spark: SparkSession, d: str) -> DataFrame:
+    found = probe.routes(table(spark, d, "tudelft_events").select(F.concat_ws(" ", "url", "page_id").alias("url"), F.col("html").alias("body")))
+    return probe.best(found).groupBy(F.substring_index("url", " ", 1).alias("url"), "tier").agg(F.count("*").alias("pages"))
+
+
+@query("SELECT source_type, count(*) AS n, bool_or(source_type IN ('jsonld', 'jsonld_index', 'ics', 'rss', 'api', 'wp_rest')) AS zero_token, min(trust) AS best_trust FROM registry GROUP BY 1")
+def source_overview(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "registry").groupBy("source_type").agg(F.count("*").alias("n"), F.bool_or(F.col("source_type").isin(*rules.ZERO_TOKEN)).alias("zero_token"), F.min("trust").alias("best_trust"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 

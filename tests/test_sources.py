@@ -74,3 +74,18 @@ def test_registry(spark, tmp_path):
     p = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x")], "source_id string, fetched_at int, body string")
     blobs, manifest = registry.snapshot(p, spark.createDataFrame([], "digest string"))
     assert blobs.count() == 2 and registry.snapshot(p, manifest)[0].count() == 0 and registry.latest_snapshot(manifest).count() == 2
+
+
+def test_probe(spark):
+    from kiosko.sources import probe
+
+    body = '<link rel="alternate" type="application/rss+xml" href="/feed"><a href="/x.ics">c</a><a href="/x.ics">c</a><div itemtype="https://schema.org/Event"></div>' + BODIES["ld"]
+    pages = spark.createDataFrame([("https://x.nl/a", body), ("https://y.nl/", None)], "url string, body string")
+    found = probe.routes(pages)
+    assert {(r.tier, r.detail, r.events) for r in found.collect()} == {("jsonld", "in page", 1), ("microdata", "in page", None), ("ics", "https://x.nl/x.ics", None), ("rss", "https://x.nl/feed", None)}
+    linked = spark.createDataFrame([("https://x.nl/x.ics", BODIES["cal"])], "url string, body string")
+    spec = spark.createDataFrame([("https://x.nl/x.ics", "ics", None, None, None, None)], "id string, source_type string, selectors map<string,string>, date_from string, country string, url string")
+    (top,) = probe.best(probe.verified(found, linked, spec)).collect()
+    assert (top.tier, top.events) == ("ics", 2)
+    texts = [("koop bij eventbrite", "tickets elsewhere"), ("concert op 3 mei", "prose with dates"), ("elke vrijdag borrel", "prose without dates"), ("<div data-reactroot>", "rendered by script"), ("<a href='https://facebook.com/x'>", "social media only"), ("welkom", "nothing about events")]
+    assert all(r.v == r.want for r in spark.createDataFrame(texts, "b string, want string").withColumn("v", probe.verdict(F.col("b"))).collect())
