@@ -188,8 +188,8 @@ def zone_intervals(zones: DataFrame) -> DataFrame:
     return rows.groupBy("zone", "year").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi", "offset"))).alias("spans"))
 
 
-def instants(values: DataFrame, zones: DataFrame, text: str = "text", source: str = "source_id", zone: str = "zone") -> DataFrame:
-    """``values`` with ``utc_second`` (null where the text states no instant).
+def instants(values: DataFrame, zones: DataFrame, text: str = "text", source: str = "source_id", zone: str = "zone", dates: bool = False) -> DataFrame:
+    """``values`` with ``utc_second`` (null where the text states no instant), and with ``dates`` also ``stated_date``.
 
     ``values`` has the text, its source and the zone that holds where the text names none. ``zones`` (column
     ``zone``) are the zones that may occur; zones named inside texts are added. Both lookups are small: one row for
@@ -200,6 +200,8 @@ def instants(values: DataFrame, zones: DataFrame, text: str = "text", source: st
     spans = zone_intervals(zones.select("zone").union(named))
     spans = spans.select(F.col("zone").alias("_t_zone"), F.col("year").alias("_t_year"), F.col("spans").alias("_t_spans"))
     rows = values.join(F.broadcast(order), values[source].eqNullSafe(order["_t_source"]), "left").drop("_t_source")
+    if dates:
+        rows = _with_date(rows, text)
     rows = with_parsed(rows, text, "_t_month_first")
     rows = rows.withColumn("_t_in", F.coalesce(F.col("_t_zone_in"), F.col(zone)))
     rows = rows.withColumn("_t_y", F.least(F.greatest(F.year(F.date_from_unix_date(F.floor(F.col("_t_local") / 86400).cast("int"))), F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)))
@@ -232,8 +234,12 @@ def stated_dates(values: DataFrame, text: str = "text", source: str = "source_id
     """``values`` with ``stated_date`` of texts that state a date alone (null for all others)."""
     order = month_first_by_source(values, source, text).withColumnsRenamed({source: "_t_source", "month_first": "_t_month_first"})
     rows = values.join(F.broadcast(order), values[source].eqNullSafe(order["_t_source"]), "left").drop("_t_source")
+    return _with_date(rows, text).drop("_t_month_first")
+
+
+def _with_date(rows: DataFrame, text: str) -> DataFrame:
     t = F.trim(F.col(text))
     plain = r"^(\d{4})-?(\d{2})-?(\d{2})$"
     swapped = F.when(F.coalesce("_t_month_first", F.lit(False)), F.regexp_replace(t, r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", "$3-$1-$2")).otherwise(F.regexp_replace(t, r"^(\d{1,2})[/.\-](\d{1,2})[/.\-](\d{4})$", "$3-$2-$1"))
     iso = F.when(t.rlike(plain), F.regexp_replace(t, plain, "$1-$2-$3")).when(t.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"), swapped)
-    return rows.withColumn("_t_iso", iso).withColumn("stated_date", F.expr("try_cast(_t_iso as date)")).drop("_t_iso", "_t_month_first")
+    return rows.withColumn("_t_iso", iso).withColumn("stated_date", F.expr("try_cast(_t_iso as date)")).drop("_t_iso")
