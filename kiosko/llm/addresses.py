@@ -57,8 +57,15 @@ _sign = re.compile(r"\b(?:no|nr|num|nro|n)\s*\.?\s*(?=\d)|\bn\s*[o°]\s*(?=\d)")
 PARTS = "town string, postcode string, kind string, street string, number string, who string"
 
 
+#: Letters with a mark that Latin scripts of Europe use, to their plain form; others go through Unicode's own forms.
+_plain = {c: "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)) for c in range(0xC0, 0x180)} | {ord(a): b for a, b in (("ß", "ss"), ("ø", "o"), ("º", "o"), ("ª", "a"), ("°", "o"))}
+
+
 def fold(text: str) -> str:
-    low = text.lower().replace("ß", "ss").replace("ø", "o").replace("º", "o").replace("ª", "a").replace("°", "o")
+    low = text.lower()
+    if low.isascii() or (low := low.translate(_plain)).isascii():
+        return low
+    low = low.replace("ß", "ss").replace("ø", "o").replace("º", "o").replace("ª", "a").replace("°", "o")
     return "".join(c for c in unicodedata.normalize("NFKD", low) if not unicodedata.combining(c))
 
 
