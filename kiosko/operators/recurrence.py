@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from kiosko.functions import keys, rules, text
 
 
+#: Rules that a sequence of days expresses: daily or weekly, with at most an interval and a count, in any order.
+EVEN = r"^(?=.*FREQ=)(?:(?:FREQ=(?:DAILY|WEEKLY)|INTERVAL=[1-9]\d{0,3}|COUNT=[1-9]\d{0,5})(?:;|$))+$"
+
+
 def _stamp(value: str, zone: dt.tzinfo) -> dt.datetime | None:
     """A compact time of a calendar as local wall clock."""
     m = re.fullmatch(r"(\d{4})(\d{2})(\d{2})(?:T(\d{2})(\d{2})(\d{2})(Z)?)?", value.strip())
@@ -61,8 +65,9 @@ def wall_dates(start: dt.datetime, rule_text: str | None, zone: dt.tzinfo, now:
 def expand(events: DataFrame, now: str, horizon_days: int = rules.HORIZON_DAYS, most: int = rules.MOST_OCCURRENCES) -> DataFrame:
     """``event_id, start_local, start_second, seconds`` for each date of events ``id, start_local, end_local, rrule, zone``.
 
-    Events without a rule are handled on the JVM; only series reach Python. Wall-clock times are expanded and then
-    localised, so a series keeps its hour across a change of offset.
+    Events without a rule, and daily and weekly series of an interval and a count, are handled on the JVM; only other
+    rules reach Python. Wall-clock times are expanded and then localised, so a series keeps its hour across a change
+    of offset.
     """
     import zoneinfo
 
@@ -78,11 +83,21 @@ def expand(events: DataFrame, now: str, horizon_days: int = rules.HORIZON_DAYS,
                 out += [(r.id, d, int(d.replace(tzinfo=zone, fold=0).timestamp())) for d in wall_dates(start, r.rrule, zone, here, horizon_days, most)]
             yield pd.DataFrame(out, columns=["event_id", "start_local", "start_second"]).astype({"event_id": "object", "start_local": "datetime64[ns]", "start_second": "int64"})
 
-    series = events.where("trim(rrule) <> ''")
-    plain = events.where("rrule is null or trim(rrule) = ''")
-    once = plain.select(F.col("id").alias("event_id"), "start_local", F.unix_timestamp(F.to_utc_timestamp(F.col("start_local").cast("timestamp"), F.col("zone"))).alias("start_second"))
-    many = series.select("id", "start_local", "rrule", "zone").mapInPandas(run, "event_id string, start_local timestamp_ntz, start_second long")
-    return once.unionByName(many)
+    rule = F.regexp_replace(F.trim("rrule"), "^RRULE:", "")
+    kind = F.when(rule.isNull() | (rule == ""), "once").when(rule.rlike(EVEN), "even").otherwise("other")
+    rows = events.select("id", "start_local", "rrule", "zone", kind.alias("_kind"), rule.alias("_rule"))
+    second = F.unix_timestamp(F.to_utc_timestamp(F.col("start_local").cast("timestamp"), F.col("zone"))).alias("start_second")
+    once = rows.where("_kind = 'once'").select(F.col("id").alias("event_id"), "start_local", second)
+    part = lambda name: F.nullif(F.regexp_extract("_rule", rf"{name}=(\d+)", 1), F.lit("")).cast("long")
+    step = F.when(F.col("_rule").contains("FREQ=WEEKLY"), 7).otherwise(1) * F.coalesce(part("INTERVAL"), F.lit(1))
+    last = F.from_utc_timestamp(F.timestamp_seconds(F.lit(int(at.timestamp()) if at.tzinfo else int(at.replace(tzinfo=dt.timezone.utc).timestamp()))), F.col("zone") if at.tzinfo else F.lit("UTC"))
+    room = F.floor((F.unix_timestamp(last) + horizon_days * 86400 - F.unix_timestamp(F.col("start_local").cast("timestamp"))) / (86400 * F.col("_step"))) + 1
+    even = rows.where("_kind = 'even'").withColumn("_step", step)
+    even = even.withColumn("_n", F.greatest(F.least(room, F.coalesce(part("COUNT"), F.lit(most)), F.lit(most)), F.lit(1)))
+    even = even.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    even = even.withColumn("start_local", F.expr("start_local + make_dt_interval(cast(_i * _step as int))"))
+    many = rows.where("_kind = 'other'").select("id", "start_local", "rrule", "zone").mapInPandas(run, "event_id string, start_local timestamp_ntz, start_second long")
+    return once.unionByName(even.select(F.col("id").alias("event_id"), "start_local", second)).unionByName(many)
 
 
 def occurrences(events: DataFrame, now: str, horizon_days: int = rules.HORIZON_DAYS) -> DataFrame:

@@ -193,3 +193,17 @@ def test_stream(spark, tmp_path):
     runs.to_parquet(runs.failures_by_window(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert got and all(r.runs == 1 for r in got) and len(got) >= 4
+
+
+def test_even_series_equal_the_general_way(spark):
+    import zoneinfo
+
+    now = dt.datetime.fromisoformat("2026-08-01T00:00:00+00:00")
+    zone = zoneinfo.ZoneInfo("Europe/Amsterdam")
+    for rule in ("FREQ=DAILY", "FREQ=WEEKLY;COUNT=3", "RRULE:FREQ=DAILY;INTERVAL=3;COUNT=500", "COUNT=2;FREQ=WEEKLY;INTERVAL=2"):
+        for start in ("2026-10-20 02:30:00", "2024-01-01 20:00:00", "2027-05-01 20:00:00", "2026-10-30 00:00:00"):
+            at = dt.datetime.fromisoformat(start)
+            want = recurrence.wall_dates(at, rule, zone, now.astimezone(zone).replace(tzinfo=None), 90, 400)
+            got = series(spark, rule, start)
+            assert [d for d, _ in got] == want, (rule, start)
+            assert [s for _, s in got] == [int(d.replace(tzinfo=zone, fold=0).timestamp()) for d in want]
