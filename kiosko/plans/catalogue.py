@@ -327,7 +327,7 @@ _ESC = "replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 @query("SELECT id AS url, replace(name, ',', ';') AS title, '20260901T200000' AS start_text FROM venues")
 def ics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:"), F.replace("name", F.lit(","), F.lit("\;")), F.lit("\r\nDTSTART:20260901T200000\r\nURL:"), "id", F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"))
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:"), F.replace("name", F.lit(","), F.lit("\\;")), F.lit("\r\nDTSTART:20260901T200000\r\nURL:"), "id", F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"))
     return _trip(spark, d, "delft_wijk", body).select("url", "title", "start_text")
 
 
