@@ -2,7 +2,8 @@
 
 Records become profiles (exact repetitions of a source collapse to one, so that hot groups of copies cost one
 comparison). Profiles meet by shared keys within a city and local day: the venue's own name, each telling word of the
-title, and the house number with the street. Each candidate pair gets a similarity vector (show, place, time). A
+title, and the house number with the street; titles without a telling word
+also meet by all their words, or all before any tag, so that they need no place. Each candidate pair gets a similarity vector (show, place, time). A
 two-component Gaussian mixture with regularised covariances separates matched from unmatched vectors without labels;
 the vectors lie on a grid, so expectation-maximisation runs over counts of all pairs, with as many rows as the grid
 has points. After the mixture settles, transitivity is enforced and the mixture is fitted again: where two edges of a
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from kiosko.session import checkpointed
 
 GRID = 10
 FEATURES = ("show", "place", "time")
-#: A word of more than this share of all records tells nothing of a show.
+#: A word of more than this share of all profiles, on more than the least number of days of a city, tells nothing of a show.
 COMMON_SHARE, COMMON_LEAST = 0.0008, 15
 _word = re.compile(r"[a-z0-9]{3,}")
 _suspicious = re.compile(encoding.SUSPICIOUS)
@@ -133,12 +135,13 @@ def _own_name(name: str | None, kinds: set[str], towns: dict[str, str]) -> str |
     return " ".join(w for w in words if w not in kinds) or (words[-1] if words else None)
 
 
-def _similarity(batch: pd.DataFrame) -> pd.DataFrame:
+def _similarity(batch: pd.DataFrame, common: set[str]) -> pd.DataFrame:
     out = []
     for a_words, b_words, a_head, b_head, a_lang, b_lang, a_who, b_who, a_spot, b_spot, a_min, b_min in batch.itertuples(index=False):
+        a_words, b_words = ([w for w in x.split() if w not in common] for x in (a_words, b_words))
         a_own, b_own = (a_who or "").split(), (b_who or "").split()
         strip = {*a_own, *b_own}
-        A, B = [w for w in a_words.split() if w not in strip], [w for w in b_words.split() if w not in strip]
+        A, B = [w for w in a_words if w not in strip], [w for w in b_words if w not in strip]
         minutes = None if pd.isna(a_min) or pd.isna(b_min) else abs(a_min - b_min)
         told = bool(A) + bool(B)
         if told < 2:  # no telling word on one side: the words before any tag
@@ -156,15 +159,15 @@ def _similarity(batch: pd.DataFrame) -> pd.DataFrame:
             if place == 1.0 and same is False:
                 place = 0.1
         else:
-            known, words = (a_own, b_words.split()) if a_who else (b_own, a_words.split())
+            known, words = (a_own, b_words) if a_who else (b_own, a_words)
             place = 0.9 if same or any(w in words for w in known) else 0.6
         out.append((round(show * GRID), round(place * GRID), round(time * GRID)))
     return pd.DataFrame(out, columns=list(FEATURES))
 
 
-def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _vectors(batches: Iterator[pd.DataFrame], common: set[str]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.concat([b[["a", "b"]].reset_index(drop=True), _similarity(b.iloc[:, 2:])], axis=1)
+        yield pd.concat([b[["a", "b"]].reset_index(drop=True), _similarity(b.iloc[:, 2:], common)], axis=1)
 
 
 def _spots(a: str | None, b: str | None) -> bool | None:
@@ -184,33 +187,42 @@ def _one_less(w: Column) -> Column:
     return F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
 
 
+def common_words(one: DataFrame) -> set[str]:
+    """The words of many profiles and of many days of a city: a show listed often on one day does not make its words common."""
+    total = one.count()
+    words = one.select("city", "day", F.explode(F.split("words", " ")).alias("w")).where("w <> ''")
+    # at most the words of a profile divided by the share: a bound that does not grow with the table
+    many = [r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > max(COMMON_LEAST, COMMON_SHARE * total)).collect()]
+    days = words.where(F.col("w").isin(many)).groupBy("w").agg(F.count_distinct(F.xxhash64("city", "day")).alias("n"))
+    return {r.w for r in days.where(F.col("n") > COMMON_LEAST).collect()}
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """``a, b, show, place, time``: the distinct pairs of profiles of different sources that share a key."""
-    total = rows.count()
-    words = rows.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    # at most the words of a record divided by the share: a bound that does not grow with the table
-    common = [r.w for r in words.where(F.col("n") > max(COMMON_LEAST, COMMON_SHARE * total)).collect()]
     # the first record of each profile stands for it; found by hash aggregation and hash join, without sorting wide rows
     stands = rows.groupBy("profile").agg(F.min("ordinal").alias("ordinal")).select("ordinal")
-    one = rows.join(stands.hint("shuffle_hash"), "ordinal", "left_semi").drop("ordinal")
-    one = one.withColumn("words", F.array_join(F.array_except(F.split("words", " "), F.array(*[F.lit(w) for w in common]).cast("array<string>")), " "))
-    one = checkpointed(one)
-    bare = F.col("words") == ""
-    telling = F.filter(F.split("words", " "), lambda w: w != "")
-    own = F.coalesce(F.split("who", " "), F.array().cast("array<string>"))
+    one = checkpointed(rows.join(stands.hint("shuffle_hash"), "ordinal", "left_semi").drop("ordinal"))
+    common = common_words(one)
+    said = F.filter(F.split("words", " "), lambda w: w != "")
+    telling = F.array_except(said, F.array(*[F.lit(w) for w in sorted(common)]).cast("array<string>"))
+    bare = F.size("telling") == 0
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.split("who", " "), none)
+    whole = lambda c: F.concat(F.lit("b:"), F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " "))
     keys = F.concat(
-        F.transform(telling, lambda w: F.concat(F.lit("t:"), w)),
+        F.transform("telling", lambda w: F.concat(F.lit("t:"), w)),
         F.transform(F.when(bare, F.flatten(F.transform(own, _one_less))).otherwise(own), lambda w: F.concat(F.lit("w:"), w)),
-        F.when(F.col("spot").isNotNull(), F.array(F.concat(F.lit("s:"), F.regexp_extract("spot", r"^([^|]*\|[^|]*)", 1)))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("spot").isNotNull(), F.array(F.concat(F.lit("s:"), F.regexp_extract("spot", r"^([^|]*\|[^|]*)", 1)))).otherwise(none),
+        F.when(bare & (F.col("words") != ""), F.filter(F.array(whole("words"), whole("head")), lambda k: k != "b:")).otherwise(none),
     )
-    keyed = one.select("profile", "source_id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64("city", "day", k)))).alias("key"))
+    keyed = one.withColumn("telling", telling).select("profile", "source_id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64("city", "day", k)))).alias("key"))
     a, b = keyed.select(F.col("profile").alias("a"), F.col("source_id").alias("_sa"), "key"), keyed.select(F.col("profile").alias("b"), F.col("source_id").alias("_sb"), "key")
     pairs = a.join(b, "key").where("a < b and _sa <> _sb").select("a", "b").distinct()
     side = ("words", "head", "lang", "who", "spot", "minute")
     for s in "ab":
         pairs = pairs.join(one.select(F.col("profile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in side]).hint("shuffle_hash"), s)
     pairs = pairs.select("a", "b", *[f"{s}_{c}" for c in side for s in "ab"])
-    return checkpointed(pairs.mapInPandas(_vectors, "a long, b long, show int, place int, time int"))
+    return checkpointed(pairs.mapInPandas(partial(_vectors, common=common), "a long, b long, show int, place int, time int"))
 
 
 def fit(counts: list[tuple[tuple[int, ...], float, float]], rounds: int = 60, ridge: float = 0.02) -> tuple[np.ndarray, list]:
