@@ -1,8 +1,8 @@
 """Matching entities across sources without keys: listings of one showing of one event.
 
 Records become profiles (exact repetitions of a source collapse to one, so that hot groups of copies cost one
-comparison). Profiles meet by shared keys within a city and local day: the venue's own name, each telling word of the
-title, and the house number with the street; titles without a telling word
+comparison). Profiles meet by shared keys within a city and local day: each word of the venue's own name, each telling word
+of the title (words of either kind meet all that are close to them), and the house number with the street; titles without a telling word
 also meet by all their words, or all before any tag, so that they need no place. Each candidate pair gets a similarity vector (show, place, time). A
 two-component Gaussian mixture with regularised covariances separates matched from unmatched vectors without labels;
 the vectors lie on a grid, so expectation-maximisation runs over counts of all pairs, with as many rows as the grid
@@ -21,6 +21,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ PROFILE = "words string, head string, who string, spot string"
 #: A word of more than this share of all venue names says what kind of house it is.
 KIND_SHARE, KIND_LEAST = 0.003, 12
 STORE = 300_000
+LONG = 20
 _head = re.compile(r"\s[-–—|@+]\s|[(:|@]")
 
 
@@ -182,9 +184,30 @@ def _spots(a: str | None, b: str | None) -> bool | None:
     return _close(s, t) if s and t else None
 
 
-def _one_less(w: Column) -> Column:
-    """A word and all words with one letter less."""
-    return F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w)))))
+def _less(w: str) -> set[str]:
+    """A word and all words with one letter less, or with up to two less from six letters on."""
+    one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+    return {w, *one} if len(w) < 6 else {w, *one, *(v[:i] + v[i + 1 :] for v in one for i in range(len(v)))}
+
+
+def _near(words: list[str]) -> set[tuple[str, str]]:
+    """All pairs of close words, the smaller first. Close words have a word in common when letters are left out of both;
+    words past LONG letters, which have too many of those, are compared with each other."""
+    at: dict[str, list[str]] = {}
+    for w in words:
+        if len(w) <= LONG:
+            for v in _less(w):
+                at.setdefault(v, []).append(w)
+    met = {(min(x, y), max(x, y)) for same in at.values() if len(same) > 1 for x, y in combinations(same, 2)}
+    long = [w for w in words if len(w) > LONG - 2]
+    met |= {(min(x, y), max(x, y)) for x, y in combinations(long, 2) if abs(len(x) - len(y)) <= 2}
+    return {p for p in met if _close(*p)}
+
+
+def _near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        out = [(c, d, f"{k}:{y}", f"{k}:{x}") for c, d, *both in b[["city", "day", "t", "w"]].itertuples(index=False) for k, words in zip("tw", both) for x, y in _near(list(words))]
+        yield pd.DataFrame(out, columns=["city", "day", "k", "other"])
 
 
 def common_words(one: DataFrame) -> set[str]:
@@ -197,6 +220,13 @@ def common_words(one: DataFrame) -> set[str]:
     return {r.w for r in days.where(F.col("n") > COMMON_LEAST).collect()}
 
 
+def _met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``a, b``: the profiles of two keyed tables that share a key and not the source, the smaller first."""
+    x, y = (k.select(F.col("profile").alias(f"_{s}"), F.col("source_id").alias(f"_s{s}"), "key") for k, s in ((a, "x"), (b, "y")))
+    other = "_x < _y" if a is b else "_x <> _y"
+    return x.join(y, "key").where(f"{other} and _sx <> _sy").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+
+
 def candidates(rows: DataFrame) -> DataFrame:
     """``a, b, show, place, time``: the distinct pairs of profiles of different sources that share a key."""
     # the first record of each profile stands for it; found by hash aggregation and hash join, without sorting wide rows
@@ -211,13 +241,17 @@ def candidates(rows: DataFrame) -> DataFrame:
     whole = lambda c: F.concat(F.lit("b:"), F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " "))
     keys = F.concat(
         F.transform("telling", lambda w: F.concat(F.lit("t:"), w)),
-        F.transform(F.when(bare, F.flatten(F.transform(own, _one_less))).otherwise(own), lambda w: F.concat(F.lit("w:"), w)),
+        F.transform(own, lambda w: F.concat(F.lit("w:"), w)),
         F.when(F.col("spot").isNotNull(), F.array(F.concat(F.lit("s:"), F.regexp_extract("spot", r"^([^|]*\|[^|]*)", 1)))).otherwise(none),
         F.when(bare & (F.col("words") != ""), F.filter(F.array(whole("words"), whole("head")), lambda k: k != "b:")).otherwise(none),
     )
-    keyed = one.withColumn("telling", telling).select("profile", "source_id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64("city", "day", k)))).alias("key"))
-    a, b = keyed.select(F.col("profile").alias("a"), F.col("source_id").alias("_sa"), "key"), keyed.select(F.col("profile").alias("b"), F.col("source_id").alias("_sb"), "key")
-    pairs = a.join(b, "key").where("a < b and _sa <> _sb").select("a", "b").distinct()
+    told = one.withColumn("telling", telling)
+    keyed = told.select("profile", "source_id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64("city", "day", k)))).alias("key"))
+    # words of one city and day that are close but not equal: the holders of the greater word get the key of the smaller too
+    sets = told.groupBy("city", "day").agg(*[F.array_distinct(F.flatten(F.collect_set(c))).alias(n) for c, n in (("telling", "t"), (own, "w"))])
+    near = sets.mapInPandas(_near_words, "city string, day date, k string, other string").select(F.xxhash64("city", "day", "k").alias("key"), F.xxhash64("city", "day", "other").alias("other"))
+    more = keyed.join(near, "key").select("profile", "source_id", F.col("other").alias("key"))
+    pairs = _met(keyed, keyed).union(_met(more, keyed)).distinct()
     side = ("words", "head", "lang", "who", "spot", "minute")
     for s in "ab":
         pairs = pairs.join(one.select(F.col("profile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in side]).hint("shuffle_hash"), s)

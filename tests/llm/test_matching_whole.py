@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from kiosko.llm import matching
 
 V = "struct<name string, address string, city string>"
@@ -22,3 +25,17 @@ def test_titles_of_common_words_meet_without_a_place(spark):
     rows += [("s3", "Jazzavond", "2026-03-01 20:00", None), ("s3", "Jazzavond", "2026-03-02 20:00", ("Zaal Rood", None, "Madrid")), ("s3", "Jazzavond (vol)", "2026-03-03 20:00", None)]
     rows += [("s3", "Lezing (vol)", f"2026-04-{k + 1:02d} 20:00", None) for k in range(20)]
     assert met(spark, rows) == {(0, 20), (1, 21), (2, 22)}
+
+
+def test_names_meet_when_each_has_an_error_and_no_place_helps(spark):
+    rows = [("s2", "Lezing met Tutoril Laelohu Project", "2026-03-01 20:00", ("Filmhuis Melmuzes", None, "Madrid")), ("s3", "Lezing: Tutoirl Larlohu Projcet", "2026-03-01 20:00", None)]
+    rows += [("s2", "Vorelgam", "2026-03-02 20:00", ("Zaal Drabumolis", None, "Madrid")), ("s3", "Kasumor", "2026-03-02 20:00", ("Drbaumoils", None, "Madrid")), ("s3", "Pintolle", "2026-03-02 20:00", None)]
+    rows = [(s, x.replace("Lezing", "Lezing" if s == "s2" else "Abend").replace("Project", "Trio"), *r) for s, x, *r in rows]
+    assert met(spark, rows) == {(0, 1), (2, 3)}
+
+
+def test_near_words_are_all_that_are_close():
+    rng = random.Random(3)
+    for most in (4, 9, 24):
+        words = list({"".join(rng.choice("ab" if most < 24 else "a" * 9 + "b") for _ in range(rng.randint(max(3, most - 6), most))) for _ in range(60)})
+        assert matching._near(words) == {(min(p), max(p)) for p in itertools.combinations(words, 2) if matching._close(*p)}
