@@ -140,7 +140,8 @@ def _own_name(name: str | None, kinds: set[str], towns: dict[str, str]) -> str |
 def _similarity(batch: pd.DataFrame, common: set[str]) -> pd.DataFrame:
     out = []
     for a_words, b_words, a_head, b_head, a_lang, b_lang, a_who, b_who, a_spot, b_spot, a_min, b_min in batch.itertuples(index=False):
-        a_words, b_words = ([w for w in x.split() if w not in common] for x in (a_words, b_words))
+        a_all, b_all = a_words.split(), b_words.split()
+        a_words, b_words = ([w for w in x if w not in common] for x in (a_all, b_all))
         a_own, b_own = (a_who or "").split(), (b_who or "").split()
         strip = {*a_own, *b_own}
         A, B = [w for w in a_words if w not in strip], [w for w in b_words if w not in strip]
@@ -161,7 +162,7 @@ def _similarity(batch: pd.DataFrame, common: set[str]) -> pd.DataFrame:
             if place == 1.0 and same is False:
                 place = 0.1
         else:
-            known, words = (a_own, b_words) if a_who else (b_own, a_words)
+            known, words = (a_own, b_all) if a_who else (b_own, a_all)  # a venue's word may be common
             place = 0.9 if same or any(w in words for w in known) else 0.6
         out.append((round(show * GRID), round(place * GRID), round(time * GRID)))
     return pd.DataFrame(out, columns=list(FEATURES))

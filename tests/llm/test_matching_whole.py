@@ -39,3 +39,11 @@ def test_near_words_are_all_that_are_close():
     for most in (4, 9, 24):
         words = list({"".join(rng.choice("ab" if most < 24 else "a" * 9 + "b") for _ in range(rng.randint(max(3, most - 6), most))) for _ in range(60)})
         assert matching._near(words) == {(min(p), max(p)) for p in itertools.combinations(words, 2) if matching._close(*p)}
+
+
+def test_a_venue_of_many_titles_is_still_found_in_a_title(spark):
+    reg = spark.createDataFrame([(s, "Madrid", "ES", "Europe/Madrid", "es") for s in ("s2", "s3")], "id string, city string, country string, timezone string, locale string")
+    rows = [(2 * k + i, s, f"Vor{chr(97 + k)}elgam{end}", f"2026-03-{k + 1:02d} 20:00", v) for k in range(20) for i, (s, end, v) in enumerate((("s2", "", ("Zaal Drabumolis", None, "Madrid")), ("s3", " Drabumolis", None)))]
+    df = spark.createDataFrame(rows, f"ordinal long, source_id string, title string, start_raw string, venue {V}")
+    got = matching.candidates(matching.profiles(df, reg).cache()).collect()
+    assert len(got) == 20 and {r.place for r in got} == {9}
