@@ -205,6 +205,18 @@ def title_trigrams(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("ordinal", F.size(text.title_trigrams(F.col("norm"))).cast("long").alias("n_grams"))
 
 
+@query()
+def normalize_titles_all(spark: SparkSession, d: str) -> DataFrame:
+    """All titles, accented ones and nulls included; DuckDB folds letters in another way, so there is no SQL."""
+    return table(spark, d, "raw_records").select("ordinal", text.normalize_title(F.col("title")).alias("norm"))
+
+
+@query()
+def title_trigrams_all(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raw_records").select("ordinal", text.normalize_title(F.col("title")).alias("norm"))
+    return rows.select("ordinal", F.size(text.title_trigrams(F.col("norm"))).cast("long").alias("n_grams"))
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents as records of one day: for the operators of blocking and clustering in SQL."""
     rows = table(spark, d, "documents").where("title is not null and source is not null")
@@ -306,6 +318,12 @@ def strip_html(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tudelft_events").where(~F.col("html").contains("&") & F.col("html").contains("<")).select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
+@query()
+def strip_html_all(spark: SparkSession, d: str) -> DataFrame:
+    """All pages, entities resolved; DuckDB has no table of entities, so there is no SQL."""
+    return table(spark, d, "tudelft_events").select("page_id", text.strip_html(F.col("html")).alias("plain"))
+
+
 @query("SELECT page_id, CASE WHEN contains(lower(substr(html, 1, 2048)), '<html') OR contains(lower(substr(html, 1, 2048)), '<!doctype html') THEN 'html' ELSE 'other' END AS kind FROM tudelft_events")
 def sniff_kind(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tudelft_events").select("page_id", payloads.sniff(F.col("html"), F.lit(None).cast("string")).alias("kind"))
