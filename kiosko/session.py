@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder, lineage cut.
-
-    The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset and the master is local
-    (tests) a folder of this machine is used; on a cluster an unset folder is an error.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> None:
+    """Set the checkpoint folder where it is not yet set: ``spark.checkpoint.dir`` of the session. Only where that is
+    unset and the master is local (tests) a folder of this machine is used; on a cluster an unset folder is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
@@ -40,4 +37,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="kiosko-", dir=os.environ.get("TMPDIR"))
         sc.setCheckpointDir(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder, lineage cut."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table into the shared checkpoint folder and read again: lineage is cut as by a
+    checkpoint, but what follows reads only the columns it needs. The tables go with the folder."""
+    spark = df.sparkSession
+    _shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
