@@ -21,9 +21,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiosko.session import checkpointed
@@ -50,10 +51,12 @@ POSTCODES = (
     ("NL", r"\b(\d{4})\s*([a-z]{2})\b(?!\.)"),
     ("PT", r"\b(\d{4})\s*-?\s*(\d{3})\b"),
     ("", r"\b(\d{5})()\b"),
-    ("", r"\b(\d{4})()\b"),
+    ("", FOUR_DIGITS := r"\b(\d{4})()\b"),
 )
-_number = re.compile(r"\b(\d{1,3})(?:\s*-\s*([a-z])\b|\s?([a-z])\b(?![./]))?")
+_number = re.compile(r"\b(\d{1,5})(?!\d)(?:\s*-\s*([a-z])\b|\s?([a-z])\b(?![./]))?")
 _sign = re.compile(r"\b(?:no|nr|num|nro|n)\s*\.?\s*(?=\d)|\bn\s*[o°]\s*(?=\d)")
+#: Rows of one location that are paired in one piece.
+BLOCK = 1000
 PARTS = "town string, postcode string, kind string, street string, number string, who string"
 
 
@@ -96,6 +99,19 @@ def _street(tokens: list[str], countries: list[str]) -> tuple[str, str] | None:
     return None
 
 
+@lru_cache(None)
+def _named(towns: tuple[str, ...]) -> re.Pattern:
+    """Any of the towns as a word; the longest goes first."""
+    return re.compile(rf"(?<![a-z])(?:{'|'.join(re.escape(t) for t in sorted(towns, key=len, reverse=True)) or '(?!)'})(?![a-z])")
+
+
+@lru_cache(None)
+def _tail(towns: tuple[str, ...]) -> re.Pattern:
+    """A town in brackets, or at the end of a venue's name."""
+    any_ = "|".join(re.escape(t) for t in towns) or "(?!)"
+    return re.compile(rf"\(\s*(?:{any_})\s*\)|(?: - |, )(?:{any_})\s*$")
+
+
 def parse(address: str | None, city: str | None, name: str | None, towns: dict[str, str]) -> tuple[str | None, ...]:
     """(town, postcode, kind, street, number, who). ``towns``: folded town names with their country."""
     who = _who(name, towns)
@@ -104,19 +120,18 @@ def parse(address: str | None, city: str | None, name: str | None, towns: dict[s
     a = re.sub(r"\((?:[a-z]{2})\)", " ", fold(address))
     a = re.sub(r"[ \t]+", " ", a)
     town = None
-    for t in towns:
-        m = re.search(rf"(?<![a-z]){re.escape(t)}(?![a-z])", a)
-        if m:
-            town, a = t, a[: m.start()] + "," + a[m.end() :]
-            break
+    if m := max(_named(tuple(towns)).finditer(a), key=lambda m: (len(m.group()), -m.start()), default=None):
+        town, a = m.group(), a[: m.start()] + "," + a[m.end() :]
     if town is None and city and (c := re.sub(r"\s+", " ", fold(city)).strip()) in towns:
         town = c
     country = LIKE.get(towns.get(town or "", ""), towns.get(town or "", ""))
-    postcode = None
+    postcode, house = None, None
     forms = [f for f in POSTCODES if country in ("", f[0]) or f[0] == ""]
     for at, form in forms:
         if (m := re.search(form, a)) and not (at == "NL" and country == "" and m.group(2) in ("no", "nr")):
             postcode, country = m.group(1) + m.group(2), country or at
+            # four digits right after a word, with no letters of their own, may be a house number
+            house = m.group(1) if form == FOUR_DIGITS and re.search(r"[a-z.] $", a[: m.start()]) else None
             a = a[: m.start()] + "," + a[m.end() :]
             break
     countries = [country] if country else ["NL", "GB", "ES", "FR", "DE", "PT", "FI", "CW"]
@@ -124,7 +139,7 @@ def parse(address: str | None, city: str | None, name: str | None, towns: dict[s
     segments = [s.strip() for s in re.split(r"[,\n;]| - ", a) if s.strip(" -.")]
     street, at = None, -1
     for i, s in enumerate(segments):
-        words = re.sub(r"\b\d{1,3}\s*-\s*[a-z]\b|\b\d{1,3}\s?[a-z]\b(?![./])|\b\d+\b", " ", s)
+        words = re.sub(r"\b\d{1,5}\s*-\s*[a-z]\b|\b\d{1,5}\s?[a-z]\b(?![./])|\b\d+\b", " ", s)
         words = re.sub(r"c/", "c. ", words).replace("p.o", "po ").split()
         if words and (street := _street(words, countries)):
             at = i
@@ -135,6 +150,8 @@ def parse(address: str | None, city: str | None, name: str | None, towns: dict[s
         if m := _number.search(s):
             number = str(int(m.group(1))) + (m.group(2) or m.group(3) or "")
             break
+    if number is None and house and street:
+        number, postcode = house, None
     kind, stem = street or (None, None)
     return town, postcode, kind, stem, number, who
 
@@ -143,10 +160,7 @@ def _who(name: str | None, towns: dict[str, str]) -> str | None:
     """The telling word of a venue's name: without town, room and kind of house."""
     if not name:
         return None
-    n = fold(name)
-    for t in towns:
-        n = re.sub(rf"\(\s*{re.escape(t)}\s*\)|(?: - |, ){re.escape(t)}\s*$", " ", n)
-    n = re.sub(r",.*$", "", n)
+    n = re.sub(r",.*$", "", _tail(tuple(towns)).sub(" ", fold(name)))
     words = re.findall(r"[a-z0-9]+", n)
     return words[-1] if words else None
 
@@ -204,9 +218,23 @@ def locations(venues: DataFrame, registry: DataFrame) -> DataFrame:
     return p.where("number is not null").select("id", F.concat_ws("|", "road", "number").alias("location"))
 
 
+def location_classes(venues: DataFrame, registry: DataFrame) -> DataFrame:
+    """``id, location, n_venues``: the location of each row and the number of rows that share it; no pairs are made."""
+    rows = checkpointed(locations(venues, registry))
+    return rows.join(rows.groupBy("location").agg(F.count("*").alias("n_venues")), "location").select("id", "location", "n_venues")
+
+
 def same_location(venues: DataFrame, registry: DataFrame) -> DataFrame:
-    """``venue_a, venue_b``: the pairs of rows that denote one location, the smaller id first."""
-    rows = locations(venues, registry)
-    shared = rows.withColumn("n", F.count("*").over(Window.partitionBy("location"))).where("n > 1").drop("n")
-    a, b = shared.withColumnRenamed("id", "venue_a"), shared.withColumnRenamed("id", "venue_b")
-    return a.join(b, "location").where("venue_a < venue_b").select("venue_a", "venue_b")
+    """``venue_a, venue_b``: the pairs of rows that denote one location, the smaller id first.
+
+    The rows of a location are dealt to blocks of BLOCK by hash; each pair of blocks is a join of its own, so that a
+    location of many rows is many tasks' work.
+    """
+    rows = checkpointed(locations(venues, registry))
+    sizes = rows.groupBy("location").agg(F.count("*").alias("n")).where("n > 1")
+    many = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.join(sizes, "location").select("id", "location", many.alias("blocks")).withColumn("own", F.pmod(F.hash("id"), F.col("blocks")))
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = rows.select(F.col("id").alias("venue_a"), "location", F.col("own").alias("x"), F.explode(others).alias("y"))
+    b = rows.select(F.col("id").alias("venue_b"), "location", F.col("own").alias("y"), F.explode(others).alias("x"))
+    return a.join(b, ["location", "x", "y"]).where("venue_a < venue_b").select("venue_a", "venue_b")

@@ -1,70 +1,68 @@
 """Matching entities across sources without keys: listings of one showing of one event.
 
-Records become profiles (exact repetitions of a source collapse to one, so that hot groups of copies cost one
-comparison). Profiles meet by shared keys within a city and local day: each word of the venue's own name, each telling word
-of the title (words of either kind meet all that are close to them), and the house number with the street; titles without a telling word
-also meet by all their words, or all before any tag, so that they need no place. Each candidate pair gets a similarity vector (show, place, time). A
-two-component Gaussian mixture with regularised covariances separates matched from unmatched vectors without labels;
-the vectors lie on a grid, so expectation-maximisation runs over counts of all pairs, with as many rows as the grid
-has points. After the mixture settles, transitivity is enforced and the mixture is fitted again: where two edges of a
-triangle match and the third does not, the third is raised or the weaker edge falls, by the sum of their log-odds.
-The posterior is the pair's confidence.
-
-Defined results: records without a title or without a date have no match; a null venue is an unknown place, which
-neither confirms nor denies; records of one source never match; empty tables give no rows; ties in posterior keep
-both pairs; titles of any length are read whole.
+Records become profiles: exact repetitions of a source collapse to one, so that a hot group of copies costs one
+comparison. Words of titles and of venue names weigh by rarity among the distinct titles and names; no word is left
+out. Profiles meet within a city and local day when they share one of these keys:
+
+* a leading word of the title: the rarest words, until those that are left hold less than a quarter of its weight (of
+  two titles that agree in three quarters of either's weight, at least one leading word is the same);
+* the ends of the title's two rarest words, in all four combinations, or those of a lone word, so that a slip in each
+  word parts no pair;
+* the title as a whole where it has no word;
+* in cities listed in several languages, the venue's rarest word within the hour, so that titles need no word in common.
+
+Each pair that met gets a vector of continuous similarities (title, place, time), computed on the JVM; what is unknown
+is missing from it. A mixture of Gaussians (one of matched pairs; one of unmatched pairs for each similarity, as
+another title, another place and another time of the day are apart) is fitted without labels by
+expectation-maximisation: missing parts are integrated out, covariances are regularised by the distance of the
+means of matched and unmatched, and each expectation step is followed by a projection onto transitivity. For triangles a-m-b the posterior of
+one edge must not be below the product of the other two; where it is, either that edge rises or the weaker of the
+other two falls, whichever the sum of the three log-odds asks for, and a pair takes the mean over its triangles.
+Vectors lie on a grid, so the fit runs on the driver over counts of grid points and of kinds of triangles, whose
+number does not grow with the table. The posterior is the pair's confidence; nothing else decides.
+
+Defined results: records without a title or without a date have no match; midnight is an unknown time; a null venue is
+an unknown place, which neither confirms nor denies; records of one source never match; empty tables give no rows;
+titles of any length are read whole; names of columns besides those read do not matter.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import warnings
 from collections.abc import Iterator
-from functools import partial
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiosko.llm import addresses, encoding
 from kiosko.operators import times
-from kiosko.session import checkpointed
-
-GRID = 10
-FEATURES = ("show", "place", "time")
-#: A word of more than this share of all profiles, on more than the least number of days of a city, tells nothing of a show.
-COMMON_SHARE, COMMON_LEAST = 0.0008, 15
-_word = re.compile(r"[a-z0-9]{3,}")
-_suspicious = re.compile(encoding.SUSPICIOUS)
-PROFILE = "words string, head string, who string, spot string"
-#: A word of more than this share of all venue names says what kind of house it is.
-KIND_SHARE, KIND_LEAST = 0.003, 12
+from kiosko.session import stored
+
+GRID = 20
+FEATURES = ("title", "place", "time")
+#: Words of at most this share of the distinct titles (or venue names) are of the rarest kind; all weigh alike. There
+#: are fewer words above it than words in a title divided by the share, so their list has a bound.
+RARE_SHARE = 0.0002
+STEPS = 5  # of a word's level for each unit of log rarity
+TOP = round(STEPS * math.log(1 / RARE_SHARE))
+#: A title all of whose words are of more than this share of titles names a kind of event only.
+KIND_LEVEL = round(STEPS * math.log(1 / 0.0025))
+#: A word weighs its level to this power: a phrase of ten common words, all one fact, is not to outweigh a name.
+POWER = 4
+#: Share of a title's weight that words behind its leading ones may hold.
+REST = 0.25
+#: Minutes at which two clock times are as near as they are far; the same for two words, as a share of their length.
+HALF_MINUTES, FAR_WORDS = 200.0, 0.4
+#: Edges of less than LIVE make no triangle; third edges of more than SURE break none by more than 1 - SURE.
+LIVE, SURE = 0.05, 0.99
 STORE = 300_000
-LONG = 20
-_head = re.compile(r"\s[-–—|@+]\s|[(:|@]")
-
-
-def _close(a: str, b: str) -> bool:
-    """Within one edit, or two in longer words; swaps of neighbours count as one."""
-    if a == b:
-        return True
-    most = 1 if min(len(a), len(b)) < 6 else 2
-    if abs(len(a) - len(b)) > most:
-        return False
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, now[-1] + 1, row[j - 1] + (x != y))
-            if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            now.append(d)
-        if min(now) > most:
-            return False
-        before, row = row, now
-    return row[-1] <= most
+_word = re.compile(r"[a-z0-9]{2,}")
+_suspicious = re.compile(encoding.SUSPICIOUS)
+PROFILE = "words string, lead int, who string, spot string"
 
 
 def _plain(text: str | None) -> str:
@@ -75,25 +73,62 @@ def _plain(text: str | None) -> str:
     return addresses.fold(text)
 
 
+def word_levels(values: DataFrame, text: str) -> dict[str, int]:
+    """The level of rarity of each word that is not of the rarest kind, among the distinct texts of a column."""
+    marked = "".join(chr(c) for c, p in addresses._plain.items() if len(p) == 1 and 0xC0 <= c)
+    plain = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), marked, "".join(addresses._plain[ord(c)] for c in marked))
+    words = F.array_distinct(F.regexp_extract_all(plain, F.lit("([a-z0-9]{2,})"), F.lit(1)))
+    texts = values.where(F.col(text).isNotNull()).select(text).distinct()
+    # the empty word counts the texts
+    counts = stored(texts.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
+    total = counts.where("w = ''").select("n").first()
+    if total is None:
+        return {}
+    many = counts.where("w <> ''").where(F.col("n") > RARE_SHARE * total.n).collect()
+    return {r.w: max(1, round(STEPS * math.log(total.n / r.n))) for r in many}
+
+
+def _weighted(words: list[str], levels: dict[str, int]) -> list[str]:
+    """Each word once, with a sign of its level before it; the rarest first, else in order."""
+    got = [(levels.get(w, TOP), w) for w in dict.fromkeys(words)]
+    return [chr(48 + n) + w for n, w in sorted(got, key=lambda x: -x[0])]
+
+
+def _leading(words: list[str]) -> int:
+    """How many of the words, rarest first, leave less than REST of the weight behind them; two at least, if there are two."""
+    left = total = sum((ord(w[0]) - 48) ** POWER for w in words)
+    for i, w in enumerate(words):
+        left -= (ord(w[0]) - 48) ** POWER
+        if left <= REST * total:
+            return min(len(words), max(2, i + 1))
+    return len(words)
+
+
 def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """``ordinal, profile, source_id, city, lang, day, minute, words, head, who, spot`` of each record with a title and a day."""
+    """``ordinal, profile, source, city, lang, mixed, day, minute, words, lead, who, spot`` of each record with a title and a day."""
     zone = F.coalesce(F.col("timezone"), F.lit("Europe/Amsterdam"))
     sources = registry.select("id", "city", F.col("locale").alias("lang"), zone.alias("zone"))
     home = sources.where("zone <> 'UTC'").groupBy("city", "zone").agg(F.count("*").alias("n")).groupBy("city").agg(F.max_by("zone", F.struct("n", "zone")).alias("home"))
-    sources = sources.join(home, "city", "left").select(F.col("id").alias("_id"), "city", "lang", "zone", F.coalesce("home", "zone").alias("home"))
+    tongues = sources.groupBy("city").agg((F.count_distinct("lang") > 1).alias("mixed"))
+    sources = sources.withColumn("source", F.row_number().over(Window.orderBy("id")))  # a row for each source
+    sources = sources.join(home, "city", "left").join(tongues, "city", "left")
+    sources = sources.select(F.col("id").alias("_id"), "source", "city", "lang", F.coalesce("mixed", F.lit(False)).alias("mixed"), "zone", F.coalesce("home", "zone").alias("home"))
     values = records.select("ordinal", "source_id", F.col("start_raw").alias("text"), "title", F.col("venue.name").alias("name"), F.col("venue.address").alias("address"))
     values = values.where(F.trim("title") != "").where(F.col("text").isNotNull())
-    values = values.join(F.broadcast(sources), values["source_id"] == sources["_id"]).drop("_id")
-    rows = times.instants(values, sources.select("zone").distinct(), dates=True)
+    titles, names = word_levels(values, "title"), word_levels(values, "name")
+    values = values.join(F.broadcast(sources), values["source_id"] == sources["_id"]).drop("_id", "source_id")
+    rows = times.instants(values, sources.select("zone").distinct(), source="source", dates=True)
     local = F.from_utc_timestamp(F.timestamp_seconds("utc_second"), F.col("home"))
-    rows = rows.withColumns({"day": F.coalesce(F.to_date(local), F.col("stated_date")), "minute": F.hour(local) * 60 + F.minute(local)})
+    rows = rows.withColumns({"day": F.coalesce(F.to_date(local), F.col("stated_date")), "minute": F.nullif((F.hour(local) * 60 + F.minute(local)).cast("int"), F.lit(0))})
     rows = rows.where("day is not null").drop("zone", "home", "text", "utc_second", "stated_date")
     towns = {addresses.fold(r.city): r.country for r in registry.select("city", "country").where("city is not null").distinct().collect()}
-    kinds = house_kinds(values)
+    held = records.sparkSession.sparkContext.broadcast((titles, names, towns))
 
     @F.pandas_udf(PROFILE)
     def look(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         # what a venue or an address says is worked out once for each in a task; the stores are emptied past a bound
+        titles, names, towns = held.value
+        tail = addresses._tail(tuple(towns))
         venues: dict[str | None, str | None] = {}
         spots: dict[tuple, str | None] = {}
         for title, name, address, city in parts:
@@ -103,239 +138,282 @@ def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
                 spots.clear()
             for t, n, a, c in zip(title, name, address, city):
                 if n not in venues:
-                    venues[n] = _own_name(n, kinds, towns)
+                    own = _word.findall(re.sub(r",.*$", "", tail.sub(" ", _plain(n))))
+                    venues[n] = " ".join(_weighted(own, names)) or None
                 if a is not None and (a, c) not in spots:
                     p = addresses.parse(_plain(a), c, None, towns) if a else (None,) * 6
                     spots[a, c] = f"{p[4]}|{p[3] or ''}|{p[1] or ''}" if p[4] and (p[3] or p[1]) else None
-                t = _plain(t)
-                words = _word.findall(t)
-                cut = _head.search(t)
-                out.append((" ".join(dict.fromkeys(words)), " ".join(_word.findall(t[: cut.start()]) if cut else words), venues[n], spots[a, c] if a is not None else None))
-            yield pd.DataFrame(out, columns=["words", "head", "who", "spot"])
-
-    rows = rows.withColumn("_p", look("title", "name", "address", "city")).select("ordinal", "source_id", "city", "lang", "day", "minute", "_p.*")
-    return rows.withColumn("profile", F.xxhash64("source_id", "day", "minute", "words", "head", "who", "spot"))
-
-
-def house_kinds(values: DataFrame) -> set[str]:
-    """The words that many venue names share. At most the words of a name divided by the share."""
-    plain = F.pandas_udf(lambda n: pd.Series([list(dict.fromkeys(_word.findall(_plain(x)))) for x in n]), "array<string>")
-    names = values.where("name is not null").select("name").distinct()
-    total = names.count()
-    counts = names.select(F.explode(plain("name")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return {r.w for r in counts.where(F.col("n") > max(KIND_LEAST, KIND_SHARE * total)).collect()}
-
-
-def _own_name(name: str | None, kinds: set[str], towns: dict[str, str]) -> str | None:
-    """The words of a venue's name that neither a kind of house nor a town has; else the last word."""
-    if not name:
-        return None
-    n = re.sub(r",.*$", "", _plain(name))
-    for t in towns:
-        n = re.sub(rf"\(\s*{re.escape(t)}\s*\)| - {re.escape(t)}\s*$", " ", n)
-    words = _word.findall(n)
-    return " ".join(w for w in words if w not in kinds) or (words[-1] if words else None)
-
-
-def _similarity(batch: pd.DataFrame, common: set[str]) -> pd.DataFrame:
-    out = []
-    for a_words, b_words, a_head, b_head, a_lang, b_lang, a_who, b_who, a_spot, b_spot, a_min, b_min in batch.itertuples(index=False):
-        a_all, b_all = a_words.split(), b_words.split()
-        a_words, b_words = ([w for w in x if w not in common] for x in (a_all, b_all))
-        a_own, b_own = (a_who or "").split(), (b_who or "").split()
-        strip = {*a_own, *b_own}
-        A, B = [w for w in a_words if w not in strip], [w for w in b_words if w not in strip]
-        minutes = None if pd.isna(a_min) or pd.isna(b_min) else abs(a_min - b_min)
-        told = bool(A) + bool(B)
-        if told < 2:  # no telling word on one side: the words before any tag
-            A, B = [w for w in a_head.split() if w not in strip], [w for w in b_head.split() if w not in strip]
-        if len(A) > len(B):
-            A, B = B, A
-        hits = sum(any(_close(x, y) for y in B) for x in A)
-        show = hits / len(A) if len(A) else 0.2
-        if told == 0 and show < 0.5 and a_lang != b_lang:  # a kind of show named in two languages
-            show = 0.6 if minutes is not None and minutes <= 30 else 0.2
-        time = 0.5 if minutes is None else 1.0 if minutes <= 5 else 0.9 if minutes <= 45 else 0.7 if minutes <= 120 else 0.5
-        same = _spots(a_spot, b_spot)
-        if a_who and b_who:
-            place = 1.0 if any(_close(x, y) for x in a_own for y in b_own) else 0.9 if same else 0.0
-            if place == 1.0 and same is False:
-                place = 0.1
-        else:
-            known, words = (a_own, b_all) if a_who else (b_own, a_all)  # a venue's word may be common
-            place = 0.9 if same or any(w in words for w in known) else 0.6
-        out.append((round(show * GRID), round(place * GRID), round(time * GRID)))
-    return pd.DataFrame(out, columns=list(FEATURES))
-
-
-def _vectors(batches: Iterator[pd.DataFrame], common: set[str]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        yield pd.concat([b[["a", "b"]].reset_index(drop=True), _similarity(b.iloc[:, 2:], common)], axis=1)
-
-
-def _spots(a: str | None, b: str | None) -> bool | None:
-    """Whether two addresses are one; None where either is missing or parts are lacking."""
-    if not a or not b:
-        return None
-    (n, s, p), (m, t, q) = a.split("|"), b.split("|")
-    if n != m:
-        return False
-    if p and q:
-        return p == q
-    return _close(s, t) if s and t else None
-
-
-def _less(w: str) -> set[str]:
-    """A word and all words with one letter less, or with up to two less from six letters on."""
-    one = {w[:i] + w[i + 1 :] for i in range(len(w))}
-    return {w, *one} if len(w) < 6 else {w, *one, *(v[:i] + v[i + 1 :] for v in one for i in range(len(v)))}
-
-
-def _near(words: list[str]) -> set[tuple[str, str]]:
-    """All pairs of close words, the smaller first. Close words have a word in common when letters are left out of both;
-    words past LONG letters, which have too many of those, are compared with each other."""
-    at: dict[str, list[str]] = {}
-    for w in words:
-        if len(w) <= LONG:
-            for v in _less(w):
-                at.setdefault(v, []).append(w)
-    met = {(min(x, y), max(x, y)) for same in at.values() if len(same) > 1 for x, y in combinations(same, 2)}
-    long = [w for w in words if len(w) > LONG - 2]
-    met |= {(min(x, y), max(x, y)) for x, y in combinations(long, 2) if abs(len(x) - len(y)) <= 2}
-    return {p for p in met if _close(*p)}
-
-
-def _near_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        out = [(c, d, f"{k}:{y}", f"{k}:{x}") for c, d, *both in b[["city", "day", "t", "w"]].itertuples(index=False) for k, words in zip("tw", both) for x, y in _near(list(words))]
-        yield pd.DataFrame(out, columns=["city", "day", "k", "other"])
-
-
-def common_words(one: DataFrame) -> set[str]:
-    """The words of many profiles and of many days of a city: a show listed often on one day does not make its words common."""
-    total = one.count()
-    words = one.select("city", "day", F.explode(F.split("words", " ")).alias("w")).where("w <> ''")
-    # at most the words of a profile divided by the share: a bound that does not grow with the table
-    many = [r.w for r in words.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > max(COMMON_LEAST, COMMON_SHARE * total)).collect()]
-    days = words.where(F.col("w").isin(many)).groupBy("w").agg(F.count_distinct(F.xxhash64("city", "day")).alias("n"))
-    return {r.w for r in days.where(F.col("n") > COMMON_LEAST).collect()}
-
-
-def _met(a: DataFrame, b: DataFrame) -> DataFrame:
-    """``a, b``: the profiles of two keyed tables that share a key and not the source, the smaller first."""
-    x, y = (k.select(F.col("profile").alias(f"_{s}"), F.col("source_id").alias(f"_s{s}"), "key") for k, s in ((a, "x"), (b, "y")))
-    other = "_x < _y" if a is b else "_x <> _y"
-    return x.join(y, "key").where(f"{other} and _sx <> _sy").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"))
+                words = _weighted(_word.findall(t := _plain(t)) or [t.strip().replace(" ", "")], titles)
+                # words of the record's own venue tell nothing of the show and do not lead
+                house = {w[1:] for w in (venues[n] or "").split()}
+                own = [w for w in words if w[1:] not in house]
+                out.append((" ".join([*own, *(w for w in words if w[1:] in house)]), _leading(own or words), venues[n], spots[a, c] if a is not None else None))
+            yield pd.DataFrame(out, columns=["words", "lead", "who", "spot"])
+
+    rows = rows.withColumn("_p", look("title", "name", "address", "city")).select("ordinal", "source", "city", "lang", "mixed", "day", "minute", "_p.*")
+    return rows.withColumn("profile", F.xxhash64("source", "day", "minute", "words", "who", "spot"))
+
+
+SIDE = ("words", "who", "spot", "minute", "lang")
+
+
+def _keys() -> Column:
+    """The hashed keys under which a profile meets others of its city and day."""
+    words, none = F.split("words", " "), F.array().cast("array<string>")
+    bare = lambda i: F.substring(F.get(words, F.lit(i)), 2, 1 << 20)
+    whole = F.transform(F.slice(words, F.lit(1), F.col("lead")), lambda w: F.concat(F.lit("t:"), w))
+    ends = [(F.left(bare(i), F.lit(3)), F.right(bare(i), F.lit(3))) for i in (0, 1)]
+    two = F.array(*[F.concat_ws(":", F.lit(f"h{i}{j}"), ends[0][i], ends[1][j]) for i in (0, 1) for j in (0, 1)])
+    halves = F.when(F.col("lead") > 1, two).otherwise(F.array(*[F.concat(F.lit(f"h{i}:"), ends[0][i]) for i in (0, 1)]))
+    own = F.get(F.split("who", " "), F.lit(0))
+    place = F.when(F.col("mixed") & F.col("who").isNotNull() & F.col("minute").isNotNull(), F.array(*[F.concat_ws(":", F.lit(f"v{i}"), F.floor((F.col("minute") + 30 * i) / 60), own) for i in (0, 1)])).otherwise(none)
+    return F.array_distinct(F.transform(F.concat(whole, halves, place), lambda k: F.xxhash64("city", "day", k)))
+
+
+def _weight(w: Column) -> Column:
+    return F.pow(F.ascii(w) - 48, F.lit(POWER))
+
+
+def _size(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0.0), lambda acc, w: acc + _weight(w))
+
+
+def _near(x: Column, y: Column) -> Column:
+    """Likeness of two words by edits; 0 where they differ in more than a part of their letters."""
+    a, b = F.substring(x, 2, 1 << 20), F.substring(y, 2, 1 << 20)
+    apart = F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+    return F.when(apart <= FAR_WORDS, 1 - apart).otherwise(0.0)
+
+
+def _overlap(a: Column, b: Column) -> Column:
+    """Weight of the lighter list of words that the other has too, as a share; words alike count in part. Null where a list is empty."""
+    both = F.array_intersect(a, b)
+    left, right = F.array_except(a, b), F.array_except(b, a)
+
+    def part(own: Column, other: Column) -> Column:
+        return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + _weight(x) * F.coalesce(F.array_max(F.transform(other, lambda y: _near(x, y))), F.lit(0.0)))
+
+    lighter = F.when(_size(a) <= _size(b), part(left, right)).otherwise(part(right, left))
+    return F.try_divide(_size(both) + lighter, F.least(_size(a), _size(b)))
+
+
+def _same_spot(a: Column, b: Column) -> Column:
+    """1 for one address, 0 for two; null where either is missing or lacks a part that the other has."""
+    x, y = F.split(a, r"\|"), F.split(b, r"\|")
+    part = lambda s, i: F.nullif(s[i], F.lit(""))
+    street = F.when(_near(F.concat(F.lit("0"), part(x, 1)), F.concat(F.lit("0"), part(y, 1))) > 0, 1.0).otherwise(0.0)
+    return F.when(x[0] != y[0], 0.0).when(part(x, 2).isNotNull() & part(y, 2).isNotNull(), (x[2] == y[2]).cast("double")).when(part(x, 1).isNotNull() & part(y, 1).isNotNull(), street)
+
+
+def vectors(pairs: DataFrame) -> DataFrame:
+    """``a, b`` with the similarities of both sides on the grid, -1 where unknown."""
+    known = lambda c: F.coalesce(F.split(c, " "), F.array().cast("array<string>"))
+    bare = lambda ws: F.transform(ws, lambda w: F.substring(w, 2, 1 << 20))
+    p = pairs.withColumns({"_a": F.split("a_words", " "), "_b": F.split("b_words", " "), "_v": known("a_who"), "_w": known("b_who")})
+    p = p.withColumn("_house", bare(F.concat("_v", "_w")))
+    p = p.withColumns({f"_{s}": F.filter(f"_{s}", lambda w: ~F.array_contains("_house", F.substring(w, 2, 1 << 20))) for s in "ab"})
+    kind = lambda c: ~F.exists(c, lambda w: F.ascii(w) - 48 >= KIND_LEVEL)
+    p = p.withColumns({"_title": _overlap(F.col("_a"), F.col("_b")), "_name": F.when((F.size("_v") > 0) & (F.size("_w") > 0), _overlap(F.col("_v"), F.col("_w"))), "_spot": _same_spot(F.col("a_spot"), F.col("b_spot"))})
+    # kinds of event named in two languages need share no word: nothing is known of such titles
+    p = p.withColumn("_title", F.when(kind("_a") & kind("_b") & ~F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("_title") < 0.5), None).otherwise(F.col("_title")))
+    told = lambda who, words: (F.size(who) > 0) & F.array_contains(bare(F.split(words, " ")), F.substring(F.get(who, F.lit(0)), 2, 1 << 20))
+    seen = F.when(told("_v", "b_words") | told("_w", "a_words"), 0.95)
+    n, s = F.col("_name"), F.col("_spot")
+    place = F.when(n.isNotNull() & s.isNotNull(), (F.greatest(n, s) + (n + s) / 2) / 2).otherwise(F.coalesce(n, s, seen))
+    gap = F.abs(F.col("a_minute") - F.col("b_minute")) / HALF_MINUTES
+    time = 1 / (1 + gap * gap * gap * gap)
+    on = lambda c: F.coalesce(F.round(c * GRID).cast("int"), F.lit(-1))
+    return p.select("a", "b", on(F.col("_title")).alias("title"), on(place).alias("place"), on(time).alias("time"))
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """Each profile once, with its columns but not its records; what profiles are compared by."""
+    one = rows.drop("ordinal")
+    return stored(one.repartition("profile").distinct())
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """``a, b, show, place, time``: the distinct pairs of profiles of different sources that share a key."""
-    # the first record of each profile stands for it; found by hash aggregation and hash join, without sorting wide rows
-    stands = rows.groupBy("profile").agg(F.min("ordinal").alias("ordinal")).select("ordinal")
-    one = checkpointed(rows.join(stands.hint("shuffle_hash"), "ordinal", "left_semi").drop("ordinal"))
-    common = common_words(one)
-    said = F.filter(F.split("words", " "), lambda w: w != "")
-    telling = F.array_except(said, F.array(*[F.lit(w) for w in sorted(common)]).cast("array<string>"))
-    bare = F.size("telling") == 0
-    none = F.array().cast("array<string>")
-    own = F.coalesce(F.split("who", " "), none)
-    whole = lambda c: F.concat(F.lit("b:"), F.array_join(F.array_sort(F.array_distinct(F.split(c, " "))), " "))
-    keys = F.concat(
-        F.transform("telling", lambda w: F.concat(F.lit("t:"), w)),
-        F.transform(own, lambda w: F.concat(F.lit("w:"), w)),
-        F.when(F.col("spot").isNotNull(), F.array(F.concat(F.lit("s:"), F.regexp_extract("spot", r"^([^|]*\|[^|]*)", 1)))).otherwise(none),
-        F.when(bare & (F.col("words") != ""), F.filter(F.array(whole("words"), whole("head")), lambda k: k != "b:")).otherwise(none),
-    )
-    told = one.withColumn("telling", telling)
-    keyed = told.select("profile", "source_id", F.explode(F.array_distinct(F.transform(keys, lambda k: F.xxhash64("city", "day", k)))).alias("key"))
-    # words of one city and day that are close but not equal: the holders of the greater word get the key of the smaller too
-    sets = told.groupBy("city", "day").agg(*[F.array_distinct(F.flatten(F.collect_set(c))).alias(n) for c, n in (("telling", "t"), (own, "w"))])
-    near = sets.mapInPandas(_near_words, "city string, day date, k string, other string").select(F.xxhash64("city", "day", "k").alias("key"), F.xxhash64("city", "day", "other").alias("other"))
-    more = keyed.join(near, "key").select("profile", "source_id", F.col("other").alias("key"))
-    pairs = _met(keyed, keyed).union(_met(more, keyed)).distinct()
-    side = ("words", "head", "lang", "who", "spot", "minute")
+    """``a, b, title, place, time``: the distinct pairs of profiles of different sources that share a key."""
+    one = representatives(rows)
+    keyed = one.select("profile", "source", F.explode(_keys()).alias("key"))
+    x, y = (keyed.select(F.col("profile").alias(s), F.col("source").alias(f"_{s}"), "key") for s in "ab")
+    # hot keys stay bare exchanges below the join, so that adaptive execution can split them
+    met = x.join(y, "key").where("a < b and _a <> _b").select("a", "b")
+    pairs = met.repartition("a").dropDuplicates(["a", "b"])
     for s in "ab":
-        pairs = pairs.join(one.select(F.col("profile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in side]).hint("shuffle_hash"), s)
-    pairs = pairs.select("a", "b", *[f"{s}_{c}" for c in side for s in "ab"])
-    return checkpointed(pairs.mapInPandas(partial(_vectors, common=common), "a long, b long, show int, place int, time int"))
+        pairs = pairs.join(one.select(F.col("profile").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in SIDE]).hint("shuffle_hash"), s)
+    return stored(vectors(pairs))
+
+
+class Mixture:
+    """Gaussians over vectors with missing parts (NaN): one of matched pairs, and one of unmatched pairs for each
+    feature, which begins at the corner where only that feature is unlike. ``fit`` by expectation-maximisation."""
+
+    def __init__(self, x: np.ndarray, n: np.ndarray, floor: float = 2e-3, pull: float = 0.15) -> None:
+        self.x, self.n, self.floor, self.pull = x, n, floor, pull
+        self.kinds: dict[tuple, list[int]] = {}
+        for i, known in enumerate(~np.isnan(x)):
+            self.kinds.setdefault(tuple(known), []).append(i)
+        d = x.shape[1]
+        self.corners = np.vstack([np.ones(d), 1 - np.eye(d)])
+        self.parts = [(1.0, c, 0.1 * np.eye(d)) for c in self.corners]
+
+    def _look(self, part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log density of what is known, expected vectors and their covariances."""
+        _, mean, cov = part
+        d = len(mean)
+        full, extra, dens = self.x.copy(), np.zeros((len(self.x), d, d)), np.zeros(len(self.x))
+        for known, rows in self.kinds.items():
+            o, m = np.array(known), ~np.array(known)
+            if not o.any():
+                full[rows], extra[rows] = mean, cov
+                continue
+            inv = np.linalg.inv(cov[np.ix_(o, o)])
+            off = self.x[np.ix_(rows, np.where(o)[0])] - mean[o]
+            dens[rows] = -0.5 * (np.einsum("ij,jk,ik->i", off, inv, off) + np.linalg.slogdet(cov[np.ix_(o, o)])[1] + o.sum() * math.log(2 * math.pi))
+            if m.any():
+                way = cov[np.ix_(m, o)] @ inv
+                full[np.ix_(rows, np.where(m)[0])] = mean[m] + off @ way.T
+                extra[np.ix_(rows, np.where(m)[0], np.where(m)[0])] = cov[np.ix_(m, m)] - way @ cov[np.ix_(o, m)]
+        return dens, full, extra
+
+    def _expect(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-odds of a match, and the shares of the unmatched Gaussians among themselves."""
+        dens = np.array([math.log(p[0]) + self._look(p)[0] for p in self.parts])
+        top = dens[1:].max(0)
+        other = np.exp(dens[1:] - top)
+        return np.clip(dens[0] - top - np.log(other.sum(0)), -15, 15), other / other.sum(0)
+
+    def _maximise(self, g: np.ndarray, shares: np.ndarray) -> None:
+        got = []
+        for part, r, corner in zip(self.parts, [g, *((1 - g) * shares)], self.corners):
+            _, full, extra = self._look(part)
+            w = self.n * r
+            # one pair at the corner is taken as known
+            mean = ((w[:, None] * full).sum(0) + corner) / (w.sum() + 1)
+            off = full - mean
+            cov = ((w[:, None, None] * (np.einsum("ij,ik->ijk", off, off) + extra)).sum(0) + np.outer(corner - mean, corner - mean)) / (w.sum() + 1)
+            got.append((w.sum() + 1, mean, cov))
+        # one regulariser for all, so that no Gaussian is the narrower for having nothing to tell apart in a feature
+        far = np.mean([(got[0][1] - mean) ** 2 for _, mean, _ in got[1:]], axis=0)
+        self.parts = [(w, mean, cov + np.diag(self.pull * far + self.floor)) for w, mean, cov in got]
+
+    def fit(self, settle=None, rounds: int = 1000, tolerance: float = 1e-4) -> np.ndarray:  # noqa: ANN001
+        """Log-odds by vector. ``settle`` turns log-odds into the mean posterior of each vector's pairs (transitivity)."""
+        before, moved = np.full(len(self.x), np.inf), math.inf
+        for _ in range(rounds):
+            odds, shares = self._expect()
+            g = 1 / (1 + np.exp(-odds)) if settle is None else settle(odds)
+            moved = float((np.abs(g - before) * self.n).sum() / self.n.sum())
+            if moved < tolerance:
+                return odds
+            before = g
+            self._maximise(g, shares)
+        warnings.warn(f"the mixture still moves by {moved:.2g} after {rounds} rounds", stacklevel=2)
+        return self._expect()[0]
+
+
+def _project(o3, o1, o2, xp):  # noqa: ANN001, ANN202
+    """Posteriors of a triangle's third edge and its sides after projection onto ``g1 * g2 <= g3``.
+
+    ``xp`` gives exp, least, greatest and where, so that the driver's arrays and Spark's columns go one way.
+    """
+    g3, g1, g2 = (1 / (1 + xp.exp(-o)) for o in (o3, o1, o2))
+    torn = g1 * g2 > g3
+    rise = torn & (o1 + o2 + o3 > 0)
+    fall = torn & ~(o1 + o2 + o3 > 0)
+    low = g3 / xp.greatest(g1, g2)
+    return xp.where(rise, g1 * g2, g3), xp.where(fall & (o1 <= o2), low, g1), xp.where(fall & ~(o1 <= o2), low, g2)
 
 
-def fit(counts: list[tuple[tuple[int, ...], float, float]], rounds: int = 60, ridge: float = 0.02) -> tuple[np.ndarray, list]:
-    """Mixture of two Gaussians over (vector, weight, share raised or lowered by transitivity); returns log-odds by vector.
+class _Arrays:
+    exp, greatest, where = staticmethod(np.exp), staticmethod(np.maximum), staticmethod(np.where)
 
-    ``counts`` are grid points with the number of pairs and the mean of the posteriors that transitivity fixed (NaN
-    where none). The matched component starts at the high corner; covariances are ridge-regularised.
-    """
-    x = np.array([v for v, _, _ in counts], dtype=float) / GRID
-    n = np.array([w for _, w, _ in counts], dtype=float)
-    fixed = np.array([f for _, _, f in counts], dtype=float)
-    g = np.where((x[:, 0] >= 0.5) & (x[:, 1] >= 0.5), 0.9, 0.1)
-    odds = np.zeros(len(x))
-    for _ in range(rounds):
-        parts = []
-        for r in (g, 1 - g):
-            w = n * r + 1e-9
-            mean = (w[:, None] * x).sum(0) / w.sum()
-            cov = (w[:, None, None] * np.einsum("ij,ik->ijk", x - mean, x - mean)).sum(0) / w.sum() + ridge * np.eye(x.shape[1])
-            inv = np.linalg.inv(cov)
-            parts.append(math.log(w.sum() / n.sum()) - 0.5 * math.log(np.linalg.det(cov)) - 0.5 * np.einsum("ij,jk,ik->i", x - mean, inv, x - mean))
-        odds = np.clip(parts[0] - parts[1], -12, 12)
-        new = 1 / (1 + np.exp(-odds))
-        new = np.where(np.isnan(fixed), new, 0.5 * new + 0.5 * fixed)
-        # more similar never means less likely: each vector is at least as likely as those it dominates
-        if np.abs(new - g).max() < 1e-4:
-            break
-        g = new
-    return odds, [v for v, _, _ in counts]
-
-
-def _monotone(points: list[tuple[int, ...]], odds: np.ndarray) -> dict[tuple[int, ...], float]:
-    """Log-odds that never fall as similarity grows, and the plain exclusions: another show or another place."""
-    out = {}
-    for p in points:
-        best = max(o for q, o in zip(points, odds) if all(a <= b for a, b in zip(q, p)))
-        out[tuple(p)] = min(best, -4.0) if p[0] < 0.5 * GRID or p[1] <= 0.1 * GRID else best
-    return out
-
-
-def scored(pairs: DataFrame, passes: int = 2) -> DataFrame:
-    """``a, b, odds``: log-odds of each candidate pair after the mixture and transitivity have settled."""
+
+class _Columns:
+    exp, greatest = staticmethod(F.exp), staticmethod(F.greatest)
+    where = staticmethod(lambda c, a, b: F.when(c, a).otherwise(b))
+
+
+def triangles(cells: DataFrame) -> DataFrame:
+    """``a, b, m, c3, c1, c2`` from pairs ``a, b, cell, g``: doubtful third edges with two live sides. Sides that join
+    the same two profiles as the third edge do not exist, as pairs are distinct."""
+    live = cells.where(F.col("g") >= LIVE)
+    edges = live.select(F.col("a").alias("x"), F.col("b").alias("m"), "cell", "g").union(live.select("b", "a", "cell", "g"))
+    third = cells.where(F.col("g") <= SURE).select("a", "b", F.col("cell").alias("c3"), F.col("g").alias("g3"))
+    one = edges.select(F.col("x").alias("a"), "m", F.col("cell").alias("c1"), F.col("g").alias("g1"))
+    two = edges.select(F.col("x").alias("b"), "m", F.col("cell").alias("c2"), F.col("g").alias("g2"))
+    return third.join(one, "a").where("m <> b").join(two, ["b", "m"]).where("g3 <= g1 and g3 <= g2").select("a", "b", "m", "c3", "c1", "c2")
+
+
+def _edges(tri: DataFrame) -> DataFrame:
+    """``a, b, role, c3, c1, c2``: the three edges of each triangle."""
+    side = lambda s, role: tri.select(F.least(s, "m").alias("a"), F.greatest(s, "m").alias("b"), F.lit(role).alias("role"), "c3", "c1", "c2")
+    return tri.select("a", "b", F.lit(0).alias("role"), "c3", "c1", "c2").union(side("a", 1)).union(side("b", 2))
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """``a, b, posterior`` of each candidate pair after the mixture has settled under transitivity."""
     spark = pairs.sparkSession
-    rows = pairs.withColumn("fixed", F.lit(None).cast("double"))
-    for turn in range(passes):
-        grid = rows.groupBy(*FEATURES).agg(F.count("*").alias("n"), F.avg("fixed").alias("f")).collect()  # at most (GRID + 1) ** 3 rows
-        if not grid:
-            return pairs.select("a", "b", F.lit(0.0).alias("odds"))
-        odds, points = fit([((r.show, r.place, r.time), float(r.n), float("nan") if r.f is None else r.f) for r in grid])
-        table = _monotone(points, odds)
-        known = spark.createDataFrame([(*map(int, k), float(v)) for k, v in table.items()], "show int, place int, time int, odds double")
-        rows = rows.drop("odds", "fixed").join(F.broadcast(known), list(FEATURES))
-        rows = checkpointed(_transitive(rows))
-    return rows.select("a", "b", F.coalesce("settled", "odds").alias("odds"))
-
-
-def _transitive(rows: DataFrame) -> DataFrame:
-    """Triangles with two matched edges and one unmatched: the third is raised where the three log-odds sum above
-    zero; otherwise the weaker of the two matched edges falls. ``settled`` and ``fixed`` hold the outcome."""
-    edges = rows.select(F.col("a").alias("x"), F.col("b").alias("y"), "odds").union(rows.select("b", "a", "odds"))
-    sure = edges.where("odds > 0")
-    doubtful = rows.where("odds <= 0").select("a", "b", F.col("odds").alias("o"))
-    left = sure.select(F.col("x").alias("a"), F.col("y").alias("m"), F.col("odds").alias("o1"))
-    right = sure.select(F.col("x").alias("b"), F.col("y").alias("m"), F.col("odds").alias("o2"))
-    bad = doubtful.join(left, "a").join(right, ["b", "m"])
-    raised = bad.where("o + o1 + o2 > 0 and o > -3.5").groupBy("a", "b").agg(F.max(F.expr("o + o1 + o2")).alias("up"))
-    weak = bad.where("not (o + o1 + o2 > 0 and o > -3.5)").select(F.when(F.col("o1") <= F.col("o2"), F.struct(F.least("a", "m").alias("a"), F.greatest("a", "m").alias("b"))).otherwise(F.struct(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b"))).alias("e"), F.least("o1", "o2").alias("low"))
-    weak = weak.where("low < 2").select("e.*").distinct().withColumn("down", F.lit(-1.0))
-    out = rows.join(raised, ["a", "b"], "left").join(weak, ["a", "b"], "left")
-    out = out.withColumn("settled", F.coalesce("up", "down")).withColumn("fixed", F.when(F.col("up").isNotNull(), 1.0).when(F.col("down").isNotNull(), 0.0))
-    return out.drop("up", "down")
+    code = F.lit(0)
+    for f in FEATURES:
+        code = code * (GRID + 2) + F.col(f) + 1
+    pairs = pairs.select("a", "b", *FEATURES, code.alias("cell"))
+    counts = pairs.groupBy("cell", *FEATURES).agg(F.count("*").alias("n")).orderBy("cell").collect()  # at most (GRID + 2) ** 3 rows
+    if not counts:
+        return pairs.select("a", "b", F.lit(0.0).alias("posterior"))
+    at = {r.cell: i for i, r in enumerate(counts)}
+    x = np.array([[np.nan if r[f] < 0 else r[f] / GRID for f in FEATURES] for r in counts])
+    n = np.array([r.n for r in counts], dtype=float)
+    mix = Mixture(x, n)
+    odds = mix.fit()
+    table = lambda o: F.broadcast(spark.createDataFrame([(int(c), float(o[i])) for c, i in at.items()], "cell int, odds double"))
+    known = pairs.select("a", "b", "cell").join(table(odds), "cell")
+    tri = stored(triangles(known.withColumn("g", 1 / (1 + F.exp(-F.col("odds"))))))
+    edges = _edges(tri)
+    # each edge of triangles shares its weight among them
+    many = edges.groupBy("a", "b").agg(F.count("*").alias("k"))
+    kinds = edges.join(many, ["a", "b"]).groupBy("role", "c3", "c1", "c2").agg(F.sum(1 / F.col("k")).alias("w")).orderBy("role", "c3", "c1", "c2").collect()  # kinds of triangles, by grid points
+    role, w = np.array([r.role for r in kinds], dtype=int), np.array([r.w for r in kinds], dtype=float)
+    c3, c1, c2 = (np.array([at[r[c]] for r in kinds], dtype=int) for c in ("c3", "c1", "c2"))
+    own = np.choose(role, [c3, c1, c2]) if len(role) else role
+    held = np.bincount(own, w, len(n))
+
+    def settle(odds: np.ndarray) -> np.ndarray:
+        free = 1 / (1 + np.exp(-odds))
+        got = np.choose(role, _project(odds[c3], odds[c1], odds[c2], _Arrays)) if len(role) else w
+        return ((n - held) * free + np.bincount(own, w * got, len(n))) / n
+
+    odds = mix.fit(settle)
+    for c in ("c3", "c1", "c2"):
+        edges = edges.join(table(odds).withColumnsRenamed({"cell": c, "odds": f"_{c}"}), c)
+    of = _project(F.col("_c3"), F.col("_c1"), F.col("_c2"), _Columns)
+    edges = edges.withColumn("v", F.when(F.col("role") == 0, of[0]).when(F.col("role") == 1, of[1]).otherwise(of[2]))
+    settled = edges.groupBy("a", "b").agg(F.avg("v").alias("v"))
+    rows = pairs.select("a", "b", "cell").join(table(odds), "cell").join(settled, ["a", "b"], "left")
+    return rows.select("a", "b", F.coalesce("v", 1 / (1 + F.exp(-F.col("odds")))).alias("posterior"))
+
+
+def matched_profiles(records: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``a, b, confidence`` of matched profiles, ``ordinal, profile`` of every record with a title and a day)."""
+    rows = stored(profiles(records, registry))
+    good = scored(candidates(rows)).where("posterior > 0.5")
+    return good.select("a", "b", F.round("posterior", 6).alias("confidence")), rows.select("ordinal", "profile")
 
 
 def matched(records: DataFrame, registry: DataFrame) -> DataFrame:
     """``ordinal_a, ordinal_b, confidence``: the matched records of different sources, the smaller ordinal first."""
-    rows = checkpointed(profiles(records, registry))
-    good = scored(candidates(rows)).where("odds > 0").withColumn("confidence", F.round(1 / (1 + F.exp(-F.col("odds"))), 6))
-    of = rows.select("ordinal", "profile")
+    good, of = matched_profiles(records, registry)
     a, b = of.select(F.col("ordinal").alias("oa"), F.col("profile").alias("a")), of.select(F.col("ordinal").alias("ob"), F.col("profile").alias("b"))
     pairs = good.join(a, "a").join(b, "b")
     return pairs.select(F.least("oa", "ob").alias("ordinal_a"), F.greatest("oa", "ob").alias("ordinal_b"), "confidence")
+
+
+def classes(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """``ordinal, class, n_links``: each record with the least ordinal of its profile and the number of its profile's
+    matches in other profiles; copies of a record share a class."""
+    good, of = matched_profiles(records, registry)
+    least = of.groupBy("profile").agg(F.min("ordinal").alias("class"))
+    links = good.select(F.col("a").alias("profile")).union(good.select("b")).groupBy("profile").agg(F.count("*").alias("n_links"))
+    rows = of.join(least, "profile").join(links, "profile", "left")
+    return rows.select("ordinal", "class", F.coalesce("n_links", F.lit(0)).alias("n_links"))

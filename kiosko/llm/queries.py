@@ -49,6 +49,10 @@ def p4_matches(spark: SparkSession, d: str) -> DataFrame:
     return matching.matched(*_t(spark, d, "raw_records", "registry"))
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    return matching.classes(*_t(spark, d, "raw_records", "registry"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return survivors.survivors(*_t(spark, d, "field_provenance", "canonical_events")).select("event_id", "field", "source_id")
 
@@ -61,6 +65,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return addresses.same_location(*_t(spark, d, "venues", "registry"))
 
 
+def p7_locations(spark: SparkSession, d: str) -> DataFrame:
+    """Class rows of problem 7: the location of each venue and the number of venues there."""
+    return addresses.location_classes(*_t(spark, d, "venues", "registry"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.with_ids(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -82,7 +91,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (p1_found, p1_restored, p2_found, p2_clean, p3_found, p3_rates, p4_found, p4_matches, p5_found, p5_supported, p7_found, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)
+    all_ = (p1_found, p1_restored, p2_found, p2_clean, p3_found, p3_rates, p4_found, p4_matches, p4_classes, p5_found, p5_supported, p7_found, p7_locations, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)
     return {f.__name__: f for f in all_}
 
 
