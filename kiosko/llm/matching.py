@@ -157,17 +157,19 @@ def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
 SIDE = ("words", "who", "spot", "minute", "lang")
 
 
-def _keys() -> Column:
-    """The hashed keys under which a profile meets others of its city and day."""
-    words, none = F.split("words", " "), F.array().cast("array<string>")
-    bare = lambda i: F.substring(F.get(words, F.lit(i)), 2, 1 << 20)
-    whole = F.transform(F.slice(words, F.lit(1), F.col("lead")), lambda w: F.concat(F.lit("t:"), w))
-    ends = [(F.left(bare(i), F.lit(3)), F.right(bare(i), F.lit(3))) for i in (0, 1)]
-    two = F.array(*[F.concat_ws(":", F.lit(f"h{i}{j}"), ends[0][i], ends[1][j]) for i in (0, 1) for j in (0, 1)])
-    halves = F.when(F.col("lead") > 1, two).otherwise(F.array(*[F.concat(F.lit(f"h{i}:"), ends[0][i]) for i in (0, 1)]))
-    own = F.get(F.split("who", " "), F.lit(0))
-    place = F.when(F.col("mixed") & F.col("who").isNotNull() & F.col("minute").isNotNull(), F.array(*[F.concat_ws(":", F.lit(f"v{i}"), F.floor((F.col("minute") + 30 * i) / 60), own) for i in (0, 1)])).otherwise(none)
-    return F.array_distinct(F.transform(F.concat(whole, halves, place), lambda k: F.xxhash64("city", "day", k)))
+def _keyed(one: DataFrame) -> DataFrame:
+    """``profile, source, key``: the hashed keys under which a profile meets others of its city and day."""
+    rows = one.select("profile", "source", "city", "day", "mixed", "minute", "lead", F.split("words", " ").alias("_w"), F.substring_index("who", " ", 1).alias("_own"))
+    first, second = (F.substring(F.get("_w", F.lit(i)), 2, 1 << 20) for i in (0, 1))
+    rows = rows.withColumns({"_l0": F.left(first, F.lit(3)), "_r0": F.right(first, F.lit(3)), "_l1": F.left(second, F.lit(3)), "_r1": F.right(second, F.lit(3)), "_two": F.col("lead") > 1})
+    none = F.array().cast("array<bigint>")
+    key = lambda *c: F.xxhash64("city", "day", *c)
+    whole = F.transform(F.slice("_w", F.lit(1), F.col("lead")), lambda w: key(w))
+    two = F.array(*[key(F.lit(f"h{i}{j}"), F.col(f"_{i}0"), F.col(f"_{j}1")) for i in "lr" for j in "lr"])
+    lone = F.array(key(F.lit("l"), F.col("_l0")), key(F.lit("r"), F.col("_r0")))
+    hour = lambda i: F.floor((F.col("minute") + 30 * i) / 60)
+    place = F.when(F.col("mixed") & F.col("_own").isNotNull() & F.col("minute").isNotNull(), F.array(*[key(F.lit(f"v{i}"), hour(i), F.col("_own")) for i in (0, 1)])).otherwise(none)
+    return rows.select("profile", "source", F.explode(F.concat(whole, F.when(F.col("_two"), two).otherwise(lone), place)).alias("key"))
 
 
 def _weight(w: Column) -> Column:
@@ -185,16 +187,16 @@ def _near(x: Column, y: Column) -> Column:
     return F.when(apart <= FAR_WORDS, 1 - apart).otherwise(0.0)
 
 
-def _overlap(a: Column, b: Column) -> Column:
+def _overlap(a: str, b: str, size_a: str, size_b: str) -> Column:
     """Weight of the lighter list of words that the other has too, as a share; words alike count in part. Null where a list is empty."""
-    both = F.array_intersect(a, b)
     left, right = F.array_except(a, b), F.array_except(b, a)
 
     def part(own: Column, other: Column) -> Column:
         return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + _weight(x) * F.coalesce(F.array_max(F.transform(other, lambda y: _near(x, y))), F.lit(0.0)))
 
-    lighter = F.when(_size(a) <= _size(b), part(left, right)).otherwise(part(right, left))
-    return F.try_divide(_size(both) + lighter, F.least(_size(a), _size(b)))
+    lighter = F.when(F.col(size_a) <= F.col(size_b), part(left, right)).otherwise(part(right, left))
+    some = (F.col(size_a) > 0) & (F.col(size_b) > 0)
+    return F.when(some & (F.col(a) == F.col(b)), 1.0).when(some, (_size(F.array_intersect(a, b)) + lighter) / F.least(size_a, size_b))
 
 
 def _same_spot(a: Column, b: Column) -> Column:
@@ -208,12 +210,14 @@ def _same_spot(a: Column, b: Column) -> Column:
 def vectors(pairs: DataFrame) -> DataFrame:
     """``a, b`` with the similarities of both sides on the grid, -1 where unknown."""
     known = lambda c: F.coalesce(F.split(c, " "), F.array().cast("array<string>"))
+    # each step is a projection of its own, so that no list is made twice
     bare = lambda ws: F.transform(ws, lambda w: F.substring(w, 2, 1 << 20))
     p = pairs.withColumns({"_a": F.split("a_words", " "), "_b": F.split("b_words", " "), "_v": known("a_who"), "_w": known("b_who")})
     p = p.withColumn("_house", bare(F.concat("_v", "_w")))
     p = p.withColumns({f"_{s}": F.filter(f"_{s}", lambda w: ~F.array_contains("_house", F.substring(w, 2, 1 << 20))) for s in "ab"})
     kind = lambda c: ~F.exists(c, lambda w: F.ascii(w) - 48 >= KIND_LEVEL)
-    p = p.withColumns({"_title": _overlap(F.col("_a"), F.col("_b")), "_name": F.when((F.size("_v") > 0) & (F.size("_w") > 0), _overlap(F.col("_v"), F.col("_w"))), "_spot": _same_spot(F.col("a_spot"), F.col("b_spot"))})
+    p = p.withColumns({f"_n{c}": _size(F.col(f"_{c}")) for c in "abvw"})
+    p = p.withColumns({"_title": _overlap("_a", "_b", "_na", "_nb"), "_name": _overlap("_v", "_w", "_nv", "_nw"), "_spot": _same_spot(F.col("a_spot"), F.col("b_spot"))})
     # kinds of event named in two languages need share no word: nothing is known of such titles
     p = p.withColumn("_title", F.when(kind("_a") & kind("_b") & ~F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("_title") < 0.5), None).otherwise(F.col("_title")))
     told = lambda who, words: (F.size(who) > 0) & F.array_contains(bare(F.split(words, " ")), F.substring(F.get(who, F.lit(0)), 2, 1 << 20))
@@ -235,7 +239,7 @@ def representatives(rows: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame) -> DataFrame:
     """``a, b, title, place, time``: the distinct pairs of profiles of different sources that share a key."""
     one = representatives(rows)
-    keyed = one.select("profile", "source", F.explode(_keys()).alias("key"))
+    keyed = _keyed(one)
     x, y = (keyed.select(F.col("profile").alias(s), F.col("source").alias(f"_{s}"), "key") for s in "ab")
     # hot keys stay bare exchanges below the join, so that adaptive execution can split them
     met = x.join(y, "key").where("a < b and _a <> _b").select("a", "b")
@@ -373,7 +377,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     edges = _edges(tri)
     # each edge of triangles shares its weight among them
     many = edges.groupBy("a", "b").agg(F.count("*").alias("k"))
-    kinds = edges.join(many, ["a", "b"]).groupBy("role", "c3", "c1", "c2").agg(F.sum(1 / F.col("k")).alias("w")).orderBy("role", "c3", "c1", "c2").collect()  # kinds of triangles, by grid points
+    kinds = edges.join(many.hint("shuffle_hash"), ["a", "b"]).groupBy("role", "c3", "c1", "c2").agg(F.sum(1 / F.col("k")).alias("w")).orderBy("role", "c3", "c1", "c2").collect()  # kinds of triangles, by grid points
     role, w = np.array([r.role for r in kinds], dtype=int), np.array([r.w for r in kinds], dtype=float)
     c3, c1, c2 = (np.array([at[r[c]] for r in kinds], dtype=int) for c in ("c3", "c1", "c2"))
     own = np.choose(role, [c3, c1, c2]) if len(role) else role
@@ -390,7 +394,7 @@ def scored(pairs: DataFrame) -> DataFrame:
     of = _project(F.col("_c3"), F.col("_c1"), F.col("_c2"), _Columns)
     edges = edges.withColumn("v", F.when(F.col("role") == 0, of[0]).when(F.col("role") == 1, of[1]).otherwise(of[2]))
     settled = edges.groupBy("a", "b").agg(F.avg("v").alias("v"))
-    rows = pairs.select("a", "b", "cell").join(table(odds), "cell").join(settled, ["a", "b"], "left")
+    rows = pairs.select("a", "b", "cell").join(table(odds), "cell").join(settled.hint("shuffle_hash"), ["a", "b"], "left")
     return rows.select("a", "b", F.coalesce("v", 1 / (1 + F.exp(-F.col("odds")))).alias("posterior"))
 
 
