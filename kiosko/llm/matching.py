@@ -55,8 +55,9 @@ KIND_LEVEL = round(STEPS * math.log(1 / 0.0025))
 POWER = 4
 #: Share of a title's weight that words behind its leading ones may hold.
 REST = 0.25
-#: Minutes at which two clock times are as near as they are far; the same for two words, as a share of their length.
-HALF_MINUTES, FAR_WORDS = 200.0, 0.4
+#: Minutes at which two clock times are as near as they are far; the same for two words, as a share of
+#: their length, and as a number that long words do not pass.
+HALF_MINUTES, FAR_WORDS, MOST_EDITS = 200.0, 0.4, 5
 #: Edges of less than LIVE make no triangle; third edges of more than SURE break none by more than 1 - SURE.
 LIVE, SURE = 0.05, 0.99
 STORE = 300_000
@@ -181,10 +182,10 @@ def _size(words: Column) -> Column:
 
 
 def _near(x: Column, y: Column) -> Column:
-    """Likeness of two words by edits; 0 where they differ in more than a part of their letters."""
+    """Likeness of two words by edits; 0 where they differ in more than a part of their letters or MOST_EDITS."""
     a, b = F.substring(x, 2, 1 << 20), F.substring(y, 2, 1 << 20)
-    apart = F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-    return F.when(apart <= FAR_WORDS, 1 - apart).otherwise(0.0)
+    edits, most = F.levenshtein(a, b, MOST_EDITS), F.greatest(F.length(a), F.length(b))
+    return F.when((edits >= 0) & (edits <= FAR_WORDS * most), 1 - edits / most).otherwise(0.0)
 
 
 def _overlap(a: str, b: str, size_a: str, size_b: str) -> Column:

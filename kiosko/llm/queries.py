@@ -24,7 +24,8 @@ def p1_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return markup.marked_up(markup.descriptions(*_t(spark, d, "raw_records", "tudelft_events"))).select("origin", "row_id").distinct()
+    raw, pages = _t(spark, d, "raw_records", "tudelft_events")
+    return markup.found(markup.descriptions(raw, pages), markup.learn_weights(pages)).distinct()
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:

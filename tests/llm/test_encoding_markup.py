@@ -112,6 +112,23 @@ def test_event_descriptions_at_any_depth():
     assert markup.event_descriptions(page) == ["a é"] and markup.event_descriptions(None) == [] and markup.event_descriptions("<script type='application/ld+json'>{bad</script>") == []
 
 
+def test_weights_decide_where_clean_text_begins():
+    text = "<table><tr><th>Delft</th><td>De clown zingt een lied in de grote zaal van het theater.</td></tr></table>"
+    light, heavy = {"word": 1.0, "mark": -0.1}, {"word": 1.0, "mark": -0.1, "th": -2.0}
+    assert markup.cleaned(text, light).startswith("Delft | De clown") and markup.cleaned(text, heavy).startswith("De clown")
+    assert markup.residue(text, heavy) > markup.residue(text, light) > 0
+    assert not markup.has_markup("Q&A; Drum&Bass; en *", light) and not markup.has_markup("*nu* open", light | {"italic": 0.0})
+
+
+def test_weights_come_from_what_pages_show(spark):
+    page = '<html><head><script type="application/ld+json">{"@type": "Event", "description": "<style>x</style><b>De clown zingt een lied in de zaal.</b> Daarna soep."}</script></head><body><p>De clown zingt een lied in de zaal.</p></body></html>'
+    w = markup.learn_weights(spark.createDataFrame([(page,)] * 5, "html string"))
+    assert w["word"] > 0 > w["void"] and w["b"] < 0
+    (pieces, before, first, last), = markup.labelled(page)
+    assert (first, last) == (0, 7) and [k for k, _ in pieces] == ["void", "tag", "word", "tag", "word"]
+    assert list(markup.labelled("<p>niets</p>")) == [] and list(markup.labelled(None)) == []
+
+
 def test_marked_up_rows_and_weights(spark):
     raw = spark.createDataFrame([(1, "<b>x</b>"), (2, "plain"), (3, None), (4, "<b>x</b>")], "ordinal long, description string")
     pages = spark.createDataFrame([(7, '<html><body><nav>menu</nav><script type="application/ld+json">{"@type":"Event","description":"<p>veel woorden hier</p>"}</script><p>veel woorden hier</p></body></html>'), (8, None)], "page_id long, html string")
