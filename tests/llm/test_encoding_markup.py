@@ -100,7 +100,7 @@ def test_region_is_the_best_run():
     rng = random.Random(2)
     for _ in range(200):
         pieces = [("word", "w " * rng.randint(1, 4)) if rng.random() < 0.5 else ("tag", "<p>") for _ in range(rng.randint(0, 9))]
-        w = {"word": 1.0, "tag": -2.0, "p": -2.0}
+        w = {"word": 1.0, "mark": -2.0, "p": -2.0}
         value = lambda a, b: sum(markup._weight(k, t, w) for k, t in pieces[a:b])
         best = max([0.0, *(value(a, b) for a in range(len(pieces)) for b in range(a + 1, len(pieces) + 1))])
         a, b = markup.region(pieces, w)
