@@ -11,7 +11,9 @@ the JVM):
    the pair of code pages that turns every suspicious sign into a fitting letter.
 
 A value is garbled if a pass changed it, or if it holds signs that only a wrong decoding leaves: U+FFFD, control
-characters of the C1 block, a lone lead byte, a sign inside a word, or a question mark where a sign was lost.
+characters of the C1 block, a lone lead byte, a sign inside a word, a letter of another script against a Latin one, or a
+question mark where a sign was lost. ``how`` says which: ``spans``, ``seven_bit``, ``one_byte``, or ``lost`` where
+nothing could be restored. Words wholly in Greek or Cyrillic are no case.
 
 Defined results: null and empty values are not garbled and stay as they are; texts of any length are read whole; a
 repeated row gives a repeated result row (``p1_found`` makes cases distinct); extra columns are kept.
@@ -48,7 +50,7 @@ LEFT_OVER = (
     f"|(?<=[A-Z])[à-öø-þ](?=[A-Z])|(?<=[a-z])[‚ŠŽ„]|[ˆƒ]|(?<=[A-Za-z])œ(?![ui])|(?<![A-Za-zÀ-ÿ0-9$€£])[¢¤](?=[a-z])|(?<=[{_L}])[†‡¡¢£¤](?![0-9A-Za-z])"
     "|¨(?=[A-Z])|(?<![A-Za-zÀ-ÿ])[ÀÁ](?=[A-Z][a-z])"
     "|(?<=[a-zà-ÿ])\\?(?=[a-zà-ÿ])|(?<=[a-z] )\\?(?= \\d)"
-    "|[─-▟Ѐ-ӿΑ-Ρ]"
+    f"|[─-▟]|(?<=[{_W}])[Ѐ-ӿΑ-Ρ]|[Ѐ-ӿΑ-Ρ](?=[{_W}])"
 )
 _BROKEN = "â€|Ã[^A-Za-z ]|Â[^A-Za-z ]|Ă[^A-Za-z ]|√|‚Ä|‚Ç|ÔÇ|Γ[\u0080-￿]"
 _SEVEN = r"\+[A-Za-z0-9+/]{2,}-"
@@ -152,12 +154,12 @@ def _one_byte(text: str) -> str:
     return best
 
 
-def repaired(text: str | None) -> tuple[str | None, bool]:
-    """The text restored as far as it goes, and whether it was garbled."""
+def repaired(text: str | None) -> tuple[str | None, str | None]:
+    """The text restored as far as it goes, and how it was found to be garbled; None where it was not."""
     if not text:
-        return text, False
+        return text, None
     now = text
-    for _ in range(4):
+    while True:  # each pass takes characters away
         best, most = now, 0
         for name in CODE_PAGES:
             plain, took = _decode(now, name)
@@ -166,14 +168,17 @@ def repaired(text: str | None) -> tuple[str | None, bool]:
         if not most:
             break
         now = best
-    now = _seven.sub(_unseven, now)
+    how = "spans" if now != text else None
+    now = _seven.sub(_unseven, before := now)
+    if now != before:
+        how = how or "seven_bit"
     if now != text:  # bytes that white space or a lost soft hyphen took away
         now = re.sub("Ã (?= )|(?<![A-Za-zÀ-ÿ])Ã(?= )", "à", now)
         now = re.sub(f"(?<=[{_L}])Ã(?=[{_L}])", "í", now)
-    left = _left.search(now) is not None
-    if left:
-        now = _one_byte(now)
-    return now, left or now != text
+    if _left.search(now):
+        now = _one_byte(before := now)
+        how = how or ("one_byte" if now != before else "lost")
+    return now, how
 
 
 def suspicious(c: Column) -> Column:
@@ -188,18 +193,18 @@ def repair(df: DataFrame, text: str, fixed: str = "fixed", garbled: str = "garbl
 
 
 def _batch(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([repaired(t) for t in texts], columns=["fixed", "garbled"])
+    return pd.DataFrame([(t, how is not None) for t, how in map(repaired, texts)], columns=["fixed", "garbled"])
 
 
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         done = [repaired(t) for t in b["text"]]
-        b["fixed"], b["garbled"] = [x for x, _ in done], [g for _, g in done]
-        yield b.loc[b["garbled"].astype(bool), ["ordinal", "field", "text", "fixed"]]
+        b["fixed"], b["how"] = [x for x, _ in done], [how for _, how in done]
+        yield b.loc[b["how"].notna(), ["ordinal", "field", "text", "fixed", "how"]]
 
 
 def garbled_values(raw: DataFrame) -> DataFrame:
-    """``ordinal, field, text, fixed`` of every garbled title, description and venue name of raw_records."""
+    """``ordinal, field, text, fixed, how`` of every garbled title, description and venue name of raw_records."""
     fields = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).alias("text")) for n, c in (("title", "title"), ("description", "description"), ("venue_name", "venue.name"))])
     rows = raw.select("ordinal", F.explode(F.filter(fields, lambda v: suspicious(v["text"]))).alias("v")).select("ordinal", "v.field", "v.text")
-    return rows.mapInPandas(_found, "ordinal long, field string, text string, fixed string")
+    return rows.mapInPandas(_found, "ordinal long, field string, text string, fixed string, how string")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kiosko.functions import rules
 from kiosko.llm import addresses, encoding, markup, matching, mixing, reading, survivors, tokens, truncation
 from kiosko.session import table
 
@@ -100,7 +101,7 @@ def oracle_sql() -> dict[str, str]:
     """The survivor rule is plain SQL; the other operators have no SQL form and are tested against brute force."""
     places = ", ".join("'" + p.replace("'", "''") + "'" for p in survivors.PLACEHOLDERS)
     spelled = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in survivors.SPELLINGS.items())
-    rank = " ".join(f"WHEN '{k}' THEN {v}" for k, v in survivors.EVIDENCE.items())
+    rank = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.TIER_EVIDENCE.items())
     return {
         "p5_found": f"""
 WITH latest AS (

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiosko.session import checkpointed
+from kiosko.session import stored
 
 QUANTILES = (0.05, 0.15, 0.25, 0.35, 0.5, 0.65, 0.75, 0.85, 0.95)
 MOST_LABELS = 20_000
@@ -75,10 +75,10 @@ def features(text: str, grades: dict[str, float]) -> np.ndarray | None:
 
 def train(documents: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, least_docs: int = LEAST_DOCS) -> tuple[dict[str, float], np.ndarray, float] | None:
     """(grades of words, weights of quantiles, mean grade); None without graded documents."""
-    rows = checkpointed(graded(documents, labels, most_labels))
+    rows = stored(graded(documents, labels, most_labels))
     counted = rows.select("text", "grade", "half").mapInPandas(_count, "half int, word string, g1 long, g2 long, g3 long, g4 long, g5 long, docs long")
     sums = [F.sum(c).alias(c) for c in ("g1", "g2", "g3", "g4", "g5", "docs")]
-    by_half = counted.groupBy("half", "word").agg(*sums)
+    by_half = stored(counted.groupBy("half", "word").agg(*sums))
     totals = {r.half: np.array([r.g1, r.g2, r.g3, r.g4, r.g5], float) for r in by_half.groupBy("half").agg(*sums).collect()}
     if not totals:
         return None
@@ -113,9 +113,10 @@ def levels(documents: DataFrame, labels: DataFrame, most_labels: int = MOST_LABE
     model = train(documents, labels, most_labels, least_docs)
     if model is None:
         return rows.select("doc_id", F.lit(None).cast("double").alias("level")).where(F.lit(False))
-    grades, weights, mean = model
+    held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grades, weights, mean = held.value
         for b in batches:
             got = [features(t, grades) for t in b["text"]]
             b["level"] = [round(float(np.clip(f @ weights, 1.0, 5.0)), 4) if f is not None else round(mean, 4) for f in got]

@@ -8,8 +8,9 @@ log-odds of going on, together with how far the value's length stands out among
 What was hung on after the cut (dots, ``[...]``, a "read more", a broken tag or entity, half a character) is taken
 off first. Values that end in a full stop, question or exclamation mark before that are whole.
 
-Counts cover every position of all values; each task counts its own part first, so that the shuffle carries a row
-for each context and task, not for each position. Contexts of the values in question are then looked up in one join.
+Counts cover every position of all values. Contexts are 64-bit hashes, rolled over the characters of a whole batch at
+once; a set of bits, sized by the number of contexts that values end in, lets tasks pass over those nobody asks for, and
+each task counts its own part first. Contexts of the values in question are then looked up in one join.
 
 Defined results: null, empty and blank values are never cut; events without a source count under the null source;
 very long values are read whole; repeated rows give the same verdict; extra columns are not read.
@@ -18,14 +19,14 @@ very long values are read whole; repeated rows give the same verdict; extra colu
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiosko.session import checkpointed
+from kiosko.session import stored
 
 LENGTHS = (3, 5, 8, 12, 17)
 #: What sources hang on a text that they cut.
@@ -36,15 +37,18 @@ HUNG_ON = (
 BROKEN = r"(?:<[a-z/][a-z0-9]{0,9}|<|&#\d{0,5}|&#x[0-9a-f]{0,5}|&[a-z]{2,7}|�)$"
 WHOLE = r"[.!?][)\]\"”’'»]*$|[!?]$"
 #: What parts the sections of a title: a title may end before it.
-_part = re.compile(r"[,:(|]| [-–—|(+@&]| (?:met|with|con|avec|mit|and|en|y|et|und) ")
+_part = re.compile(r"(?=[,:(|]| [-–—|(+@&]| (?:met|with|con|avec|mit|and|en|y|et|und) )")
 #: A tag line after the last sentence, which is no sentence itself.
 TAIL = r"(?:^|[.!?…)\]]\s+)[^\p{L}\s¿¡][^.!?]*$"
 _hung, _broken = re.compile(HUNG_ON), re.compile(BROKEN)
 #: Weights of a length that stands out, of something hung on and of a tag line, and odds against a cut before any evidence.
 SPIKE_WEIGHT, HUNG_WEIGHT, TAIL_WEIGHT, PRIOR = 1.0, 1.5, 6.0, -2.2
 FEW = 4
-BITS = 1 << 25
-FLUSH = 400_000
+#: Bits of the set of asked contexts for each of them, and the most in all (32 MB): past that it lets more contexts
+#: through, and counts stay whole.
+BITS_EACH, MOST_BITS = 16, 1 << 28
+FLUSH = 2_000_000
+STEP, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD)
 
 
 def core(text: str) -> str:
@@ -69,55 +73,92 @@ def values(events: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def asked_bits(asked: DataFrame) -> bytes:
-    """A set of BITS bits in which the hashes of the asked contexts are set: of one size whatever the table's.
-
-    Tasks pass over contexts whose bit is unset, as nobody asks for them. A full set passes over none; counts stay whole.
-    """
-    at = F.pmod(F.col("context"), F.lit(BITS)) + 1
+    """A set of bits in which the hashes of the asked contexts are set, as many as BITS_EACH for each, at most MOST_BITS."""
+    size = 1 << 16
+    while size < min(MOST_BITS, BITS_EACH * asked.count()):
+        size *= 2
+    at = F.pmod(F.col("context"), F.lit(size)) + 1
     parts = asked.select(F.bitmap_bucket_number(at).alias("n"), F.bitmap_bit_position(at).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits"))
-    out = bytearray(BITS // 8)
-    for r in parts.collect():  # at most BITS / 32768 rows
+    out = bytearray(size // 8)
+    for r in parts.collect():  # at most MOST_BITS / 32768 rows
         out[(r.n - 1) * 4096 : r.n * 4096] = r.bits
     return bytes(out)
 
 
+def _laid_out(fields: list[str], texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, each begun by ``^`` and ended by a zero; the place of each in its text, from 1; and
+    the first letter of its field."""
+    codes = np.frombuffer("".join(f"^{t}\0" for t in texts).encode("utf-32-le"), dtype=np.uint32)
+    sizes = np.array([len(t) + 2 for t in texts])
+    starts = np.cumsum(sizes) - sizes
+    return codes, np.arange(len(codes)) - np.repeat(starts, sizes) + 1, np.repeat(np.array([ord(f[0]) for f in fields], dtype=np.uint64), sizes)
+
+
+def _rolled(codes: np.ndarray, field: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of LENGTHS the hashes of the field and that many characters up to each position."""
+    c = (codes.astype(np.uint64) + np.uint64(1)) * MIX
+    h, power = c.copy(), np.uint64(1)
+    for k in range(1, max(LENGTHS) + 1):
+        if k > 1:
+            power = power * STEP
+            h[k - 1 :] += c[: 1 - k] * power
+        if k in LENGTHS:
+            x = (h + field * np.uint64(2 * k + 1)) * MIX
+            x = (x ^ (x >> np.uint64(31))) * STEP
+            yield k, (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def tails(rows: DataFrame) -> DataFrame:
+    """``key, k, context`` of the ends of values ``key, field, core``, by length."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            with np.errstate(over="ignore"):
+                texts = [normal(t) for t in b["core"]]
+                codes, place, field = _laid_out(list(b["field"]), texts)
+                last = np.cumsum([len(t) + 2 for t in texts]) - 2
+                for k, h in _rolled(codes, field):
+                    long = place[last] >= k
+                    yield pd.DataFrame({"key": b["key"].to_numpy()[long], "k": k, "context": h[last[long]]})
+
+    return rows.select("key", "field", "core").mapInPandas(run, "key long, k int, context long")
+
+
 def contexts(rows: DataFrame, bits: bytes) -> DataFrame:
-    """``context, ends, goes_on`` over all values, for the contexts (hashes of field and text) whose bit is set."""
+    """``context, ends, goes_on`` over all values, for the contexts whose bit is set."""
     held = rows.sparkSession.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        ends: Counter = Counter()
-        on: Counter = Counter()
-        is_set = held.value
+        is_set = np.frombuffer(held.value, dtype=np.uint8)
+        mask = np.int64(len(is_set) * 8 - 1)
+        seen: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pd.DataFrame:
-            out = []
-            for k in {*ends, *on}:
-                h = xxhash.xxh64_intdigest(k.encode(), seed=42)
-                h = h - (1 << 64) if h >> 63 else h
-                at = h % BITS
-                if is_set[at // 8] >> (at % 8) & 1:
-                    out.append((h, ends[k], on[k]))
-            ends.clear()
-            on.clear()
-            return pd.DataFrame(out, columns=["context", "ends", "goes_on"])
+            if not seen:
+                return pd.DataFrame({"context": [], "ends": [], "goes_on": []}).astype("int64")
+            all_, ends = (np.concatenate(x) for x in zip(*seen))
+            seen.clear()
+            keys, at = np.unique(all_, return_inverse=True)
+            total, stop = np.bincount(at, minlength=len(keys)), np.bincount(at, ends, len(keys)).astype(np.int64)
+            return pd.DataFrame({"context": keys, "ends": stop, "goes_on": total - stop})
 
         for b in batches:
-            for field, text in zip(b["field"], b["text"]):
-                s = "^" + normal(core(text))
-                n, title = len(s), field == "title"
-                for i in range(2, n + 1):
-                    if s[i - 1] in " .!?\n":
-                        continue
-                    into = ends if i == n or s[i] in ".!?\n" or (title and _part.match(s, i)) else on
-                    for k in LENGTHS:
-                        if k > i:
-                            break
-                        into[field[0] + s[i - k : i]] += 1
-                if len(on) > FLUSH:
-                    yield flush()
+            with np.errstate(over="ignore"):
+                fields, texts = list(b["field"]), [normal(core(t)) for t in b["text"]]
+                codes, place, field = _laid_out(fields, texts)
+                within = ~np.isin(codes, [ord(x) for x in " .!?\n\0"]) & (place > 1)
+                end = np.isin(np.append(codes[1:], 0), [ord(x) for x in ".!?\n\0"])
+                start = 0
+                for f, t in zip(fields, texts):
+                    if f == "title":
+                        end[[start + m.start() for m in _part.finditer(t)]] = True
+                    start += len(t) + 2
+                for k, h in _rolled(codes, field):
+                    at = h & mask
+                    asked = within & (place >= k) & ((is_set[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)
+                    seen.append((h[asked], end[asked]))
+            if sum(len(x) for x, _ in seen) > FLUSH:
+                yield flush()
         yield flush()
 
     part = rows.select("field", "text").mapInPandas(count, "context long, ends long, goes_on long")
@@ -143,9 +184,7 @@ def judged(events: DataFrame, registry: DataFrame) -> DataFrame:
     text = text.withColumn("broken", F.rtrim(plain).rlike(BROKEN)).withColumn("whole", F.col("core").rlike(WHOLE) & ~F.col("broken") | (F.col("core") == ""))
     size = length_odds(rows).withColumnsRenamed({"source": "_s", "field": "_f"})
     text = text.withColumn("_z", F.length(F.rtrim("text"))).join(size, F.col("source").eqNullSafe(F.col("_s")) & (F.col("field") == F.col("_f")) & (F.col("_z") == F.col("size")), "left")
-    open_ = text.where(~F.col("whole")).select("key", F.substring("field", 1, 1).alias("f"), F.regexp_replace(F.lower(F.concat(F.lit("^"), F.col("core"))), r"\d", "0").alias("c"))
-    tails = F.array(*[F.struct(F.lit(k).alias("k"), F.xxhash64(F.concat("f", F.right("c", F.lit(k)))).alias("context"), (F.length("c") >= k).alias("long")) for k in LENGTHS])
-    asked = checkpointed(open_.select("key", F.explode(tails).alias("x")).where("x.long").select("key", "x.k", "x.context"))
+    asked = stored(tails(text.where(~F.col("whole"))))
     got = asked.join(contexts(rows, asked_bits(asked)), "context")
     # the value's own end is left out of the count
     known = got.select("key", "k", (F.col("ends") - 1).alias("e"), F.col("goes_on").alias("g")).where(F.col("e") + F.col("g") >= F.when(F.col("k") > 8, 2).when(F.col("k") == 8, 10).when(F.col("k") == 5, 25).otherwise(FEW))

@@ -23,23 +23,27 @@ def test_round_trip(page):
     for t in CLEAN:
         bad = sloppy(t.encode(), page)
         if bad != t and "√" not in t:
-            assert encoding.repaired(bad) == (t, True), (page, t, bad)
+            fixed, how = encoding.repaired(bad)
+            assert fixed == t and how, (page, t, bad)
 
 
 def test_twice_and_seven_bit():
-    assert encoding.repaired(sloppy(sloppy("Café über".encode(), "cp1252").encode(), "cp1252")) == ("Café über", True)
-    assert encoding.repaired("Caf+AOk- en re+APw-nie") == ("Café en reünie", True)
+    assert encoding.repaired(sloppy(sloppy("Café über".encode(), "cp1252").encode(), "cp1252")) == ("Café über", "spans")
+    assert encoding.repaired("Caf+AOk- en re+APw-nie") == ("Café en reünie", "seven_bit")
 
 
 def test_correct_text_is_no_case():
     for t in CLEAN:
-        assert encoding.repaired(t) == (t, False), t
-    assert encoding.repaired(None) == (None, False)
+        assert encoding.repaired(t) == (t, None), t
+    assert encoding.repaired(None) == (None, None)
 
 
 def test_unrestorable_and_partly():
-    assert encoding.repaired("Caf\ufffd X")[1]
-    assert encoding.repaired("Un tr\u00c3\u00ado y niño") == ("Un trío y niño", True)
+    assert encoding.repaired("Caf\ufffd X")[1] == "lost"
+    for t in ("Концерт в Москве", "Αθήνα Ρόδος", "Театр"):
+        assert encoding.repaired(t) == (t, None), t
+    assert encoding.repaired("CafЙ")[1]
+    assert encoding.repaired("Un tr\u00c3\u00ado y niño") == ("Un trío y niño", "spans")
     assert encoding.repaired("publi\x82 dans l'arri\x8are-salle")[1]
 
 
