@@ -58,7 +58,7 @@ def _each(f: Callable[[str | None, str | None], float]) -> Callable[[Column | st
     return lambda a, b: F.pandas_udf(run, "double")(a, b)
 
 
-_token_set = _each(token_set_ratio)
+token_set = _each(token_set_ratio)
 plain_ratio = _each(ratio)
 
 
@@ -68,7 +68,7 @@ def title_similarity(a: Column, b: Column) -> Column:
     shared = F.size(F.array_intersect(x, y))
     inside = (shared > 0) & (shared == F.least(F.size(x), F.size(y)))
     hard = ~((a == "") | (b == "") | inside)
-    return F.when((a == "") | (b == ""), 0.0).when(inside, 1.0).otherwise(_token_set(F.when(hard, a), F.when(hard, b)) / 100)
+    return F.when((a == "") | (b == ""), 0.0).when(inside, 1.0).otherwise(token_set(F.when(hard, a), F.when(hard, b)) / 100)
 
 
 def time_similarity(a: Column, b: Column, tolerance: int = 90) -> Column:
@@ -93,7 +93,7 @@ def venue_similarity(name1: Column, lat1: Column, lon1: Column, name2: Column, l
     near = distance_similarity(lat1, lon1, lat2, lon2)
     named = (name1 != "") & (name2 != "")
     asked = near.isNull() & named
-    return F.coalesce(near, F.when(named, _token_set(F.lower(F.when(asked, name1)), F.lower(F.when(asked, name2))) / 100), F.lit(0.5))
+    return F.coalesce(near, F.when(named, token_set(F.lower(F.when(asked, name1)), F.lower(F.when(asked, name2))) / 100), F.lit(0.5))
 
 
 def weighted(title: Column, time: Column, venue: Column) -> Column:

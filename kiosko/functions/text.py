@@ -60,14 +60,14 @@ def unmarked(c: Column) -> Column:
 
 
 def normalize_title(c: Column, locale: str | Column = "nl") -> Column:
-    """Comparison key of a title: no case, accents, punctuation or stop words of the locale."""
+    """Comparison key of a title: no case, accents, punctuation or stop words of the locale; null for null."""
     words = F.filter(F.split(F.regexp_replace(unmarked(c), r"(?U)[^\w\s]", " "), r"(?U)\s+"), lambda w: w != "")
     lists = {k: F.array(*[F.lit(w) for w in v]) for k, v in rules.STOPWORDS.items()}
     if isinstance(locale, str):
         stop = lists.get(locale, lists["en"])
     else:
         stop = reduce(lambda acc, k: acc.when(locale == k, lists[k]), lists, F.when(F.lit(False), lists["en"])).otherwise(lists["en"])
-    return F.concat_ws(" ", F.filter(words, lambda w: ~F.array_contains(stop, w)))
+    return F.when(c.isNotNull(), F.concat_ws(" ", F.filter(words, lambda w: ~F.array_contains(stop, w))))
 
 
 def title_trigrams(normal: Column, n: int = 3) -> Column:
@@ -82,22 +82,51 @@ def detect_free(blob: Column, locale: str = "nl") -> Column:
     low = F.lower(blob)
     marks = [*rules.FREE_MARKERS.get(locale, []), *rules.FREE_MARKERS["en"]]
     free = reduce(lambda a, b: a | b, [low.contains(m) for m in dict.fromkeys(marks)])
-    paid = low.rlike(r"[€$£]\s?\d|\b(?:eur|euro|usd)\s?\d|\d+[.,]?\d*\s?(?:euro|eur)\b")
+    paid = low.rlike(rules.MONEY)
     return F.when(low == "", None).when(free, True).when(paid, False)
 
 
 def parse_price(c: Column) -> Column:
-    return F.replace(F.nullif(F.regexp_extract(c, r"[€$£]\s?\d+(?:[.,]\d{2})?", 0), F.lit("")), F.lit(" "), F.lit(""))
+    return F.replace(F.nullif(F.regexp_extract(c, rules.PRICE, 0), F.lit("")), F.lit(" "), F.lit(""))
+
+
+#: (category, weight, term) of every term; its place is its bit.
+TERMS = [(name, weight, term) for name, tiers in rules.CATEGORIES.items() for weight, terms in tiers.items() for term in terms]
+_BITS = 60
+
+
+def term_masks(blob: Column) -> list[Column]:
+    """Which terms a text holds, as bits of a few integers; those of several texts are united by ``bit_or``."""
+    low = F.lower(F.coalesce(blob, F.lit("")))
+    parts = [TERMS[i : i + _BITS] for i in range(0, len(TERMS), _BITS)]
+    return [reduce(lambda a, b: a + b, [F.when(low.contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, _, t) in enumerate(part)]) for part in parts]
+
+
+def _ranked(weights: dict[str, list[Column]]) -> Column:
+    scores = [F.struct((-reduce(lambda a, b: a + b, terms)).alias("score"), F.lit(name).alias("name")) for name, terms in weights.items()]
+    ranked = F.array_sort(F.array(*scores))
+    # one more step, so that the ranking is worked out once
+    return F.transform(F.array(ranked), lambda r: F.when((r[0]["score"] == 0) | ((r[0]["score"] == r[1]["score"]) & (r[0]["score"] > -2)), None).otherwise(r[0]["name"]))[0]
+
+
+def category_of(text: list[str], venue: list[str]) -> Column:
+    """The category with most weight of terms in the text (half weight in the venue's name); null for a weak tie. Both are
+    names of columns of ``term_masks``."""
+    has = lambda masks, i: F.col(masks[i // _BITS]).bitwiseAND(F.lit(1 << i % _BITS)) != 0
+    weights: dict[str, list[Column]] = {}
+    for i, (name, w, _) in enumerate(TERMS):
+        weights.setdefault(name, []).append(F.when(has(text, i), float(w)).when(has(venue, i), w / 2).otherwise(0.0))
+    return _ranked(weights)
 
 
 def categorize(blob: Column, venue: Column) -> Column:
-    """The category with most weight of terms in the text (half weight in the venue's name); null for a weak tie."""
-    text, place = F.lower(F.coalesce(blob, F.lit(""))), F.lower(F.coalesce(venue, F.lit("")))
-    scores = []
-    for name, tiers in rules.CATEGORIES.items():
-        terms = [F.when(text.contains(t), float(w)).when(place.contains(t), w / 2).otherwise(0.0) for w, ts in zip((2, 1), tiers) for t in ts.split("|")]
-        scores.append(F.struct(reduce(lambda a, b: a + b, terms).alias("score"), F.lit(name).alias("name")))
-    ranked = F.array_sort(F.array(*scores), lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["name"] < b["name"], -1).otherwise(1))
-    first, second = ranked[0], ranked[1]
-    weak = (first["score"] == second["score"]) & (first["score"] < 2)
-    return F.when((first["score"] == 0) | weak, None).otherwise(first["name"])
+    """The category of one text and its venue's name."""
+    low = F.struct(F.lower(F.coalesce(blob, F.lit(""))).alias("b"), F.lower(F.coalesce(venue, F.lit(""))).alias("v"))
+
+    def ranked(x: Column) -> Column:
+        weights: dict[str, list[Column]] = {}
+        for name, w, t in TERMS:
+            weights.setdefault(name, []).append(F.when(x["b"].contains(t), float(w)).when(x["v"].contains(t), w / 2).otherwise(0.0))
+        return _ranked(weights)
+
+    return F.transform(F.array(low), ranked)[0]

@@ -73,6 +73,51 @@ def venue_counts(venues: DataFrame, events: DataFrame) -> DataFrame:
     return venues.join(n, venues["id"] == n["venue_id"], "left").select("id", "name", "city", F.coalesce("event_count", F.lit(0)).alias("event_count"))
 
 
+def venue_page(venues: DataFrame, events: DataFrame, city: str | None = None, has_coords: bool | None = None, bbox: tuple[float, float, float, float] | None = None, limit: int = 200) -> DataFrame:
+    """Venues with the number of their live events, most events first, then by name and id."""
+    if not 1 <= limit <= 1000:
+        raise ValueError("limit must be from 1 to 1000")
+    rows = venues if city is None else venues.where(F.lower("city") == city.lower())
+    if has_coords is not None:
+        rows = rows.where(F.col("lat").isNotNull() if has_coords else F.col("lat").isNull())
+    if bbox is not None:
+        west, south, east, north = bbox
+        rows = rows.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    return venue_counts(rows, events).orderBy(F.desc("event_count"), "name", "id").limit(limit)
+
+
+def upcoming(venue: DataFrame, occurrences: DataFrame, events: DataFrame, now: int, limit: int | None = None) -> DataFrame:
+    """What is on at venues from now: dates that are not cancelled of live events, with the first price given by date,
+    series and venue, and the free flag of the date, else of the series."""
+    e = live(events).select(F.col("id").alias("event_id"), "title", "category", "venue_id", F.col("price").alias("_series_price"), F.col("is_free").alias("_series_free"), F.size(F.array_distinct("source_ids")).cast("long").alias("source_count"))
+    o = occurrences.where((F.col("start_second") >= now) & ~F.coalesce(F.col("cancelled"), F.lit(False))).select(F.col("id").alias("occurrence_id"), "event_id", "start_second", F.col("price").alias("_price"), F.col("is_free").alias("_free"))
+    v = venue.select(F.col("id").alias("venue_id"), "default_price")
+    rows = o.join(e, "event_id").join(v, "venue_id")
+    rows = rows.select("venue_id", "occurrence_id", "event_id", "title", "category", "start_second", first_given(F.col("_price"), F.col("_series_price"), F.col("default_price")).alias("price"), F.coalesce("_free", "_series_free").alias("is_free"), "source_count")
+    return rows if limit is None else rows.orderBy("start_second", "occurrence_id").limit(limit)
+
+
+def event_rows(events: DataFrame) -> DataFrame:
+    """Events as they are handed out: the venue nested, a short list of members, and the number of sources."""
+    venue = F.struct(F.col("venue_id").alias("id"), F.col("venue_name").alias("name"), F.col("venue_lat").alias("lat"), F.col("venue_lon").alias("lon"))
+    short = F.transform(F.coalesce("members", F.array()), lambda m: F.struct(m["source_id"].alias("source_id"), m["trust"].alias("trust"), m["title"].alias("title")))
+    return events.select("id", "title", F.col("start_iso").alias("start"), F.unix_seconds("end_at").alias("end_second"), "city", "url", "is_free", "price", "rrule", "category", "confidence", venue.alias("venue"), "source_ids", F.size(F.array_distinct("source_ids")).cast("long").alias("source_count"), short.alias("sources"))
+
+
+def etag(rows: DataFrame) -> DataFrame:
+    """One row ``etag``: the same for the same rows in any order, another for any change. A sum of row digests, so that
+    nothing is gathered."""
+    cols = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    got = rows.select(F.xxhash64(cols).cast("decimal(38,0)").alias("h"), F.crc32(cols).cast("decimal(38,0)").alias("c")).agg(F.sum("h").alias("h"), F.sum("c").alias("c"), F.count("*").alias("n"))
+    return got.select(F.substring(F.sha2(F.concat_ws("|", "h", "c", "n"), 256), 1, 32).alias("etag"))
+
+
+def header_counts(events: DataFrame, now: int) -> DataFrame:
+    """The counters over a list: live events, those to come, free ones, those of several sources, and their venues."""
+    second = F.unix_seconds("start_at")
+    return live(events).agg(F.count("*").alias("events"), F.count_if(second >= now).alias("to_come"), F.count_if(F.col("is_free")).alias("free"), F.count_if(F.size("source_ids") >= 2).alias("corroborated"), F.count_distinct("venue_id").alias("venues"))
+
+
 def markers(events: DataFrame, most: int = 12) -> DataFrame:
     """A map marker for each venue (by id, else by name): number of events, most sources, first titles by start."""
     key = F.coalesce("venue_id", F.concat(F.lit("n:"), F.col("venue_name")))

@@ -37,12 +37,46 @@ def replace_unless_pinned(old: DataFrame, new: DataFrame, key: str = "id", pinne
     return kept.unionByName(new.join(kept.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def withdraw_unseen(events: DataFrame, seen: DataFrame, settled: DataFrame, now: Column) -> DataFrame:
-    """Events not seen this time and listed only by sources that ran or were retired get ``withdrawn_at``; seen ones lose it."""
+def persist_events(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """Events of a run over those stored: new values win, the venue's reference stays where a run gives none, every event
+    seen is live again, and ``last_seen`` is now."""
+    rows = upsert(old, new, "id", keep=("venue_id",))
+    seen = new.select(F.col("id").alias("_id")).distinct()
+    rows = rows.join(seen, rows["id"] == seen["_id"], "left")
+    return rows.withColumns({"withdrawn_at": F.when(F.col("_id").isNull(), F.col("withdrawn_at")), "last_seen": F.when(F.col("_id").isNotNull(), now).otherwise(F.col("last_seen"))}).drop("_id")
+
+
+def run_status(status: Column) -> Column:
+    """STRUCT<ok, records> of the status line of a source: its number of records, or what failed."""
+    ok = ~(status.startswith("FAILED") | status.startswith("ERROR") | status.startswith("no payload"))
+    first = F.substring_index(status, " ", 1)
+    return F.struct(ok.alias("ok"), F.when(ok & first.rlike(r"^\d+$"), first.try_cast("int")).otherwise(0).alias("records"))
+
+
+def appended(history: DataFrame, runs: DataFrame) -> DataFrame:
+    """The run history ``id, source_id, ran_at, records, ok`` with the runs of a cycle added, ids going on from the last."""
+    last = history.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last"))
+    w = Window.orderBy("source_id", "ran_at")  # a row for each source of one cycle
+    new = runs.withColumn("_n", F.row_number().over(w)).crossJoin(F.broadcast(last)).withColumn("id", F.col("_last") + F.col("_n"))
+    return history.unionByName(new.select(history.columns))
+
+
+def without_withdrawn(occurrences: DataFrame, events: DataFrame) -> DataFrame:
+    """The dates of events that are live, and those set by hand."""
+    live = events.where("withdrawn_at is null").select(F.col("id").alias("event_id"))
+    pinned = occurrences.where(F.coalesce("is_override", F.lit(False)))
+    return pinned.unionByName(occurrences.where(~F.coalesce("is_override", F.lit(False))).join(live, "event_id", "left_semi").select(occurrences.columns))
+
+
+def withdraw_unseen(events: DataFrame, seen: DataFrame, settled: DataFrame, now: Column, city: str | None = None) -> DataFrame:
+    """Events (of a city, if one is named) not seen this time and listed only by sources that ran or were retired get
+    ``withdrawn_at``; seen ones lose it."""
     listed = events.select("id", F.explode("source_ids").alias("source_id"))
     blocked = listed.join(settled.select("source_id").distinct(), "source_id", "left_anti").select("id").distinct().withColumn("_blocked", F.lit(True))
     got = events.join(seen.select("id").distinct().withColumn("_seen", F.lit(True)), "id", "left").join(blocked, "id", "left")
     gone = F.col("_seen").isNull() & F.col("_blocked").isNull() & (F.size("source_ids") > 0)
+    if city is not None:
+        gone = gone & (F.lower("city") == city.lower())
     stamp = F.when(F.col("_seen"), F.lit(None)).when(gone, F.coalesce("withdrawn_at", now)).otherwise(F.col("withdrawn_at"))
     return got.withColumn("withdrawn_at", stamp).drop("_seen", "_blocked")
 

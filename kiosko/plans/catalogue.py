@@ -27,7 +27,7 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def events_of(spark: SparkSession, d: str) -> DataFrame:
     """canonical_events with local times, start second and the coordinates of its venue."""
     e = table(spark, d, "canonical_events")
     local = F.expr("try_cast(substr(start_iso, 1, 19) as timestamp_ntz)")
@@ -37,7 +37,7 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return e.join(v, e["venue_id"] == v["_v"], "left").drop("_v")
 
 
-def _runs(spark: SparkSession, d: str) -> DataFrame:
+def runs_of(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("source_id"), F.floor("value").cast("int").alias("records"), (F.col("event_type") != "error").alias("ok"), F.col("ts").alias("ran_at"))
 
@@ -65,30 +65,17 @@ def live_filter_project(spark: SparkSession, d: str) -> DataFrame:
 WHERE e.withdrawn_at IS NULL AND lower(e.city) = 'delft' AND (e.title ILIKE '%o%' OR e.venue_name ILIKE '%o%') AND v.lat BETWEEN 51.9 AND 52.1 AND v.lon BETWEEN 4.2 AND 4.5 AND epoch(e.start_at) BETWEEN 1767225600 AND 1800000000""")
 def compound_filter(spark: SparkSession, d: str) -> DataFrame:
     q = reading.EventQuery(city="Delft", q="o", bbox=(51.9, 4.2, 52.1, 4.5), begin=1767225600, end=1800000000)
-    return reading.filtered(_events(spark, d), q).select("id", "second", "title")
+    return reading.filtered(events_of(spark, d), q).select("id", "second", "title")
 
 
 @query("SELECT id, len(source_ids) AS n_sources FROM canonical_events WHERE withdrawn_at IS NULL AND len(source_ids) >= 2")
 def min_sources(spark: SparkSession, d: str) -> DataFrame:
-    return reading.filtered(_events(spark, d), reading.EventQuery(min_sources=2)).select("id", F.size("source_ids").cast("long").alias("n_sources"))
+    return reading.filtered(events_of(spark, d), reading.EventQuery(min_sources=2)).select("id", F.size("source_ids").cast("long").alias("n_sources"))
 
 
 @query("SELECT id, epoch(start_at)::BIGINT AS second FROM canonical_events WHERE withdrawn_at IS NULL AND (epoch(start_at)::BIGINT, id) > (1780000000, '8') ORDER BY start_at, id LIMIT 51")
 def keyset_page(spark: SparkSession, d: str) -> DataFrame:
-    return reading.page(_events(spark, d), reading.EventQuery(after=(1780000000, "8"))).select("id", "second")
-
-
-@query("SELECT o_orderkey AS event_id, l_linenumber AS n, o_orderpriority AS category, l_extendedprice AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' AND l_linestatus = 'O'")
-def expand_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    o, li = table(spark, d, "orders").where("o_orderstatus <> 'F'"), table(spark, d, "lineitem").where("l_linestatus = 'O'")
-    return li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_orderkey").alias("event_id"), F.col("l_linenumber").alias("n"), F.col("o_orderpriority").alias("category"), F.col("l_extendedprice").alias("price"))
-
-
-@query("""SELECT v.id AS venue_id, e.id AS event_id, coalesce(nullif(e.price, ''), v.default_price) AS price, e.is_free FROM canonical_events e JOIN venues v ON e.venue_id = v.id
-WHERE e.withdrawn_at IS NULL AND epoch(e.start_at) >= 1785542400""")
-def venue_upcoming_fallback(spark: SparkSession, d: str) -> DataFrame:
-    e, v = reading.live(table(spark, d, "canonical_events")).where(F.unix_seconds("start_at") >= NOW), table(spark, d, "venues")
-    return e.join(v, e["venue_id"] == v["id"]).select(v["id"].alias("venue_id"), e["id"].alias("event_id"), reading.first_given(e["price"], v["default_price"]).alias("price"), e["is_free"])
+    return reading.page(events_of(spark, d), reading.EventQuery(after=(1780000000, "8"))).select("id", "second")
 
 
 @query("SELECT v.id, v.name, v.city, count(e.id) AS event_count FROM venues v LEFT JOIN (SELECT * FROM canonical_events WHERE withdrawn_at IS NULL) e ON e.venue_id = v.id GROUP BY ALL")
@@ -114,32 +101,24 @@ def category_counts(spark: SparkSession, d: str) -> DataFrame:
     return reading.live(table(spark, d, "canonical_events")).groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
 
 
-@query("""SELECT count(*) FILTER (withdrawn_at IS NULL) AS live, count(*) FILTER (withdrawn_at IS NOT NULL) AS withdrawn, count(*) FILTER (withdrawn_at IS NULL AND len(source_ids) >= 2) AS corroborated,
-round(count(*) FILTER (withdrawn_at IS NULL AND len(source_ids) >= 2) / count(*) FILTER (withdrawn_at IS NULL), 6) AS rate FROM canonical_events""")
-def metrics_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    live, both = F.col("withdrawn_at").isNull(), F.size("source_ids") >= 2
-    got = table(spark, d, "canonical_events").agg(F.count_if(live).alias("live"), F.count_if(~live).alias("withdrawn"), F.count_if(live & both).alias("corroborated"))
-    return got.withColumn("rate", F.round(F.try_divide("corroborated", "live"), 6))
-
-
 @query(f"""WITH {RUNS}, g AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY id DESC) AS n FROM runs WHERE ok),
 a AS (SELECT source_id, max(records) FILTER (n = 1) AS latest, median(records) FILTER (n > 1) AS median, count(*) FILTER (n > 1) AS history FROM g WHERE n <= 11 GROUP BY 1)
 SELECT source_id, latest, round(median, 6) AS median, history, CASE WHEN latest / median <= 0.3 THEN 'collapsed' ELSE 'degraded' END AS kind FROM a WHERE history >= 4 AND median > 0 AND latest / median <= 0.6""")
 def yield_regressions(spark: SparkSession, d: str) -> DataFrame:
-    return measures.yield_regressions(_runs(spark, d), "source_id").select("source_id", "latest", F.round("median", 6).alias("median"), "history", "kind")
+    return measures.yield_regressions(runs_of(spark, d), "source_id").select("source_id", "latest", F.round("median", 6).alias("median"), "history", "kind")
 
 
 @query(f"""WITH {RUNS}, s AS (SELECT source_id, max(ran_at) FILTER (ok) AS t FROM runs GROUP BY 1)
 SELECT round(median((1785542400 - epoch(t)) / 3600), 4) AS median_hours, round(max((1785542400 - epoch(t)) / 3600), 4) AS worst_hours, count(*) FILTER (t IS NULL) AS never, count(*) AS sources FROM s""")
 def freshness(spark: SparkSession, d: str) -> DataFrame:
-    runs = _runs(spark, d).withColumn("ran_at", F.col("ran_at").cast("timestamp"))
+    runs = runs_of(spark, d).withColumn("ran_at", F.col("ran_at").cast("timestamp"))
     got = measures.freshness(state.run_state(runs, "source_id", "ok", "ran_at", "id"), F.timestamp_seconds(F.lit(NOW)))
     return got.withColumns({c: F.round(c, 4) for c in ("median_hours", "worst_hours")})
 
 
 @query(f"""WITH {RUNS} SELECT source_id, count(*) AS runs, count(*) FILTER (NOT ok) AS failures, round(avg((NOT ok)::INT), 6) AS rate FROM runs WHERE id > (SELECT max(id) FROM runs) - 200 GROUP BY 1""")
 def breakage(spark: SparkSession, d: str) -> DataFrame:
-    return measures.breakage(_runs(spark, d), "source_id")
+    return measures.breakage(runs_of(spark, d), "source_id")
 
 
 @query("""SELECT event_id, field, source_id, lag(claim) OVER w AS old_value, claim AS new_value FROM (SELECT DISTINCT event_id, field, source_id, claim, updated_at FROM field_provenance)
@@ -165,8 +144,8 @@ def override_replace(spark: SparkSession, d: str) -> DataFrame:
     return state.replace_unless_pinned(li.drop("l_linestatus"), new.drop("l_linestatus")).select("id", "q")
 
 
-@query("""WITH ok AS (SELECT id AS source_id FROM registry WHERE enabled), seen AS (SELECT id FROM canonical_events WHERE epoch(last_seen) % 2 = 0)
-SELECT id, CASE WHEN id IN (SELECT id FROM seen) THEN NULL WHEN len(source_ids) > 0 AND len(list_filter(source_ids, lambda s: s NOT IN (SELECT source_id FROM ok))) = 0 THEN coalesce(epoch(withdrawn_at)::BIGINT, 1785542400) ELSE epoch(withdrawn_at)::BIGINT END AS withdrawn FROM canonical_events""")
+@query("""WITH ok AS (SELECT id AS source_id FROM registry WHERE enabled), blocked AS (SELECT DISTINCT id FROM (SELECT id, unnest(source_ids) AS s FROM canonical_events) WHERE s NOT IN (SELECT source_id FROM ok))
+SELECT id, CASE WHEN epoch(last_seen)::BIGINT % 2 = 0 THEN NULL WHEN len(source_ids) > 0 AND id NOT IN (SELECT id FROM blocked) THEN coalesce(epoch(withdrawn_at)::BIGINT, 1785542400) ELSE epoch(withdrawn_at)::BIGINT END AS withdrawn FROM canonical_events""")
 def withdraw_unseen(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "canonical_events")
     seen = e.where(F.unix_seconds("last_seen") % 2 == 0)
@@ -174,63 +153,35 @@ def withdraw_unseen(spark: SparkSession, d: str) -> DataFrame:
     return state.withdraw_unseen(e, seen, ok, F.timestamp_seconds(F.lit(NOW))).select("id", F.unix_seconds("withdrawn_at").alias("withdrawn"))
 
 
-SQL["withdraw_unseen"] = """WITH ok AS (SELECT id AS source_id FROM registry WHERE enabled), blocked AS (SELECT DISTINCT id FROM (SELECT id, unnest(source_ids) AS s FROM canonical_events) WHERE s NOT IN (SELECT source_id FROM ok))
-SELECT id, CASE WHEN epoch(last_seen)::BIGINT % 2 = 0 THEN NULL WHEN len(source_ids) > 0 AND id NOT IN (SELECT id FROM blocked) THEN coalesce(epoch(withdrawn_at)::BIGINT, 1785542400) ELSE epoch(withdrawn_at)::BIGINT END AS withdrawn FROM canonical_events"""
-
-
-@query(f"""WITH {RUNS} SELECT source_id, max(ran_at)::VARCHAR AS last_attempt, max(ran_at) FILTER (ok)::VARCHAR AS last_success, arg_max(records, id) AS records, count(*) AS runs FROM runs GROUP BY 1""")
+@query(f"""WITH {RUNS} SELECT source_id, strftime(max(ran_at), '%Y-%m-%d %H:%M:%S') AS last_attempt, strftime(max(ran_at) FILTER (ok), '%Y-%m-%d %H:%M:%S') AS last_success, arg_max(records, id) AS records, count(*) AS runs FROM runs GROUP BY 1""")
 def run_log_latest_and_history(spark: SparkSession, d: str) -> DataFrame:
-    got = state.run_state(_runs(spark, d), "source_id", "ok", "ran_at", "id")
+    got = state.run_state(runs_of(spark, d), "source_id", "ok", "ran_at", "id")
     return got.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_attempt", "last_success")})
 
 
-SQL["run_log_latest_and_history"] = f"""WITH {RUNS} SELECT source_id, strftime(max(ran_at), '%Y-%m-%d %H:%M:%S') AS last_attempt, strftime(max(ran_at) FILTER (ok), '%Y-%m-%d %H:%M:%S') AS last_success, arg_max(records, id) AS records, count(*) AS runs FROM runs GROUP BY 1"""
-
 STOP_NL = ", ".join(f"'{w}'" for w in rules.STOPWORDS["nl"])
-NORM = f"array_to_string(list_filter(string_split(regexp_replace(regexp_replace(strip_accents(lower(title)), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' '), lambda w: w <> '' AND w NOT IN ({STOP_NL})), ' ')"
-ASCII = "regexp_full_match(title, '[\\x00-\\x7F]*')"
 
 
-@query(f"SELECT ordinal, {NORM} AS norm FROM raw_records WHERE {ASCII}")
-def normalize_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Titles of plain letters; accented ones are tested against Unicode's own forms."""
-    return table(spark, d, "raw_records").where(F.col("title").rlike(r"\A\p{ASCII}*\z")).select("ordinal", text.normalize_title(F.col("title")).alias("norm"))
-
-
-@query(f"""WITH n AS (SELECT ordinal, replace({NORM}, ' ', '') AS s FROM raw_records WHERE {ASCII})
-SELECT ordinal, CASE WHEN length(s) = 0 THEN 0 WHEN length(s) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) END AS n_grams FROM n""")
-def title_trigrams(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "raw_records").where(F.col("title").rlike(r"\A\p{ASCII}*\z"))
-    rows = rows.select("ordinal", text.normalize_title(F.col("title")).alias("norm"))
-    return rows.select("ordinal", F.size(text.title_trigrams(F.col("norm"))).cast("long").alias("n_grams"))
+def norm_sql(c: str) -> str:
+    """The comparison key of a title in SQL. Letters that compatibility forms spell out are put first, as DuckDB only
+    takes marks off."""
+    plain = f"translate(lower({c}), 'ª²³¹ºµ¨¯´¸\u00a0', 'a231oμ     ')"
+    for a, b in (("¼", "1 4"), ("½", "1 2"), ("¾", "3 4"), ("™", "tm"), ("…", " ")):
+        plain = f"replace({plain}, '{a}', '{b}')"
+    words = f"regexp_replace(regexp_replace(strip_accents({plain}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
+    return f"array_to_string(list_filter(string_split({words}, ' '), lambda w: w <> '' AND w NOT IN ({STOP_NL})), ' ')"
 
 
-@query()
-def normalize_titles_all(spark: SparkSession, d: str) -> DataFrame:
-    """All titles, accented ones and nulls included; DuckDB folds letters in another way, so there is no SQL."""
+@query(f"SELECT ordinal, {norm_sql('title')} AS norm FROM raw_records")
+def normalize_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").select("ordinal", text.normalize_title(F.col("title")).alias("norm"))
 
 
-@query()
-def title_trigrams_all(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""WITH n AS (SELECT ordinal, replace({norm_sql("title")}, ' ', '') AS s FROM raw_records)
+SELECT ordinal, CASE WHEN s IS NULL THEN NULL WHEN length(s) = 0 THEN '' WHEN length(s) < 3 THEN s ELSE array_to_string(list_sort(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))), ',') END AS grams FROM n""")
+def title_trigrams(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "raw_records").select("ordinal", text.normalize_title(F.col("title")).alias("norm"))
-    return rows.select("ordinal", F.size(text.title_trigrams(F.col("norm"))).cast("long").alias("n_grams"))
-
-
-def _docs(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as records of one day: for the operators of blocking and clustering in SQL."""
-    rows = table(spark, d, "documents").where("title is not null and source is not null")
-    return rows.select(F.col("doc_id").alias("ordinal"), F.col("source").alias("source_id"), F.col("title"), F.coalesce("city", F.lit("")).alias("city"), F.to_date("published_at").alias("day"))
-
-
-@query("""WITH r AS (SELECT doc_id AS ordinal, source AS source_id, title, coalesce(city, '') AS city FROM documents WHERE title IS NOT NULL AND source IS NOT NULL),
-b AS (SELECT city, title FROM r GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60)
-SELECT x.ordinal AS a, y.ordinal AS b FROM r x JOIN r y USING (city, title) JOIN b USING (city, title) WHERE x.ordinal < y.ordinal AND x.source_id <> y.source_id""")
-def block_candidates(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d)
-    fit = rows.groupBy("city", "title").agg(F.count("*").alias("n")).where(f"n between 2 and {rules.BLOCK_CAP}").select("city", "title")
-    k = rows.join(fit, ["city", "title"], "left_semi")
-    return k.alias("x").join(k.alias("y"), ["city", "title"]).where("x.ordinal < y.ordinal and x.source_id <> y.source_id").select(F.col("x.ordinal").alias("a"), F.col("y.ordinal").alias("b"))
+    return rows.select("ordinal", F.when(F.col("norm").isNotNull(), F.array_join(F.array_sort(text.title_trigrams(F.col("norm"))), ",")).alias("grams"))
 
 
 @query("""WITH RECURSIVE r AS (SELECT doc_id AS n, title, city FROM documents WHERE title IS NOT NULL AND city IS NOT NULL),
@@ -247,19 +198,6 @@ def components(spark: SparkSession, d: str) -> DataFrame:
     return graph.components(stars, rows)
 
 
-@query("""WITH g AS (SELECT event_id, field, source_id, coalesce(trust, 99) AS trust, claim, updated_at FROM field_provenance WHERE claim IS NOT NULL AND trim(claim) <> '')
-SELECT event_id, field, arg_min(claim, (trust, source_id, -epoch(updated_at), claim)) AS claim, count(DISTINCT source_id) AS n_sources, least(1.0, round(0.6 + 0.2 * count(DISTINCT source_id), 6)) AS confidence FROM g GROUP BY ALL""")
-def merge_precedence(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "field_provenance").where("claim is not null and trim(claim) <> ''")
-    order = F.struct(F.coalesce("trust", F.lit(99)), "source_id", -F.unix_seconds("updated_at"), "claim")
-    return rows.groupBy("event_id", "field").agg(F.min_by("claim", order).alias("claim"), F.count_distinct("source_id").alias("n_sources"), F.least(F.lit(1.0), F.round(0.6 + 0.2 * F.count_distinct("source_id"), 6)).alias("confidence"))
-
-
-SQL["merge_precedence"] = """WITH g AS (SELECT event_id, field, source_id, coalesce(trust, 99) AS trust, claim, updated_at FROM field_provenance WHERE claim IS NOT NULL AND trim(claim, ' ') <> ''),
-r AS (SELECT *, row_number() OVER (PARTITION BY event_id, field ORDER BY trust, source_id, epoch(updated_at)::BIGINT DESC, claim COLLATE "C") AS n FROM g)
-SELECT event_id, field, max(claim) FILTER (n = 1) AS claim, count(DISTINCT source_id) AS n_sources, least(1.0, round(0.6 + 0.2 * count(DISTINCT source_id), 6))::DOUBLE AS confidence FROM r GROUP BY ALL""".replace(' COLLATE "C"', "")
-
-
 @query("""WITH p AS (SELECT event_id, ts AS a, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
 SELECT event_id, round(CASE WHEN (strftime(a, '%H%M%S') = '000000') <> (strftime(b, '%H%M%S') = '000000') THEN CASE WHEN a::DATE = b::DATE THEN 0.5 ELSE 0 END WHEN abs(floor(epoch(a)) - floor(epoch(b))) / 60 > 90 THEN 0 ELSE 1 - abs(floor(epoch(a)) - floor(epoch(b))) / 60 / 90 END, 6) AS sim FROM p WHERE b IS NOT NULL""")
 def time_similarity(spark: SparkSession, d: str) -> DataFrame:
@@ -278,12 +216,6 @@ def geo_similarity(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.round(similarity.distance_similarity(*[F.col(c) for c in ("x.lat", "x.lon", "y.lat", "y.lon")]), 4).alias("sim"))
 
 
-@query()
-def pair_score(spark: SparkSession, d: str) -> DataFrame:
-    rows = checkpointed(resolve.claims(table(spark, d, "raw_records"), table(spark, d, "registry")))
-    return resolve.scores(rows, resolve.candidates(rows))
-
-
 MARKS = " OR ".join(f"contains(b, '{m}')" for m in dict.fromkeys([*rules.FREE_MARKERS["nl"], *rules.FREE_MARKERS["en"]]))
 
 
@@ -298,29 +230,28 @@ def price_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_records").select("ordinal", text.parse_price(F.concat_ws(" ", "description", "price")).alias("price_found"))
 
 
-def _category_sql() -> str:
+def category_sql(texts: str) -> str:
+    """CTEs that end in ``cat``: ``id, category_found`` of rows ``id, b, v`` (text and venue in lower case)."""
     one = lambda t, w: f"(CASE WHEN contains(b, '{t}') THEN {w} WHEN contains(v, '{t}') THEN {w / 2} ELSE 0 END)"
-    cols = ", ".join(f"({' + '.join(one(t, w) for w, ts in zip((2, 1), tiers) for t in ts.split('|'))})::DOUBLE AS {k}" for k, tiers in rules.CATEGORIES.items())
-    names = ", ".join(rules.CATEGORIES)
-    return f"""WITH t AS (SELECT id, lower(coalesce(title, '')) AS b, lower(coalesce(venue_name, '')) AS v FROM canonical_events), s AS (SELECT id, {cols} FROM t),
-u AS (SELECT id, k, x, row_number() OVER (PARTITION BY id ORDER BY x DESC, k) AS n, count(*) OVER (PARTITION BY id, x) AS ties FROM (UNPIVOT s ON {names} INTO NAME k VALUE x))
-SELECT id, CASE WHEN x = 0 OR (ties > 1 AND x < 2) THEN NULL ELSE k END AS category_found FROM u WHERE n = 1"""
+    cols = ", ".join(f"({' + '.join(one(t, w) for w, ts in tiers.items() for t in ts)})::DOUBLE AS {k}" for k, tiers in rules.CATEGORIES.items())
+    return f"""cat_t AS ({texts}), cat_s AS (SELECT id, {cols} FROM cat_t),
+cat_u AS (SELECT id, k, x, row_number() OVER (PARTITION BY id ORDER BY x DESC, k) AS n, count(*) OVER (PARTITION BY id, x) AS ties FROM (UNPIVOT cat_s ON {", ".join(rules.CATEGORIES)} INTO NAME k VALUE x)),
+cat AS (SELECT id, CASE WHEN x = 0 OR (ties > 1 AND x < 2) THEN NULL ELSE k END AS category_found FROM cat_u WHERE n = 1)"""
 
 
-@query(_category_sql())
+@query(f"""WITH {category_sql("SELECT id, lower(coalesce(title, '')) AS b, lower(coalesce(venue_name, '')) AS v FROM canonical_events")} SELECT id, category_found FROM cat""")
 def categorize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "canonical_events").select("id", text.categorize(F.col("title"), F.col("venue_name")).alias("category_found"))
 
 
-@query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<\\s*/?\\s*(br|p|div|li|tr|h[1-6])\\b[^>]*>', ' ', 'gi'), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM tudelft_events WHERE NOT contains(html, '&') AND contains(html, '<')""")
-def strip_html(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without entities; those with are tested against Python's own table."""
-    return table(spark, d, "tudelft_events").where(~F.col("html").contains("&") & F.col("html").contains("<")).select("page_id", text.strip_html(F.col("html")).alias("plain"))
+_BARE = "regexp_replace(regexp_replace(html, '<\\s*/?\\s*(br|p|div|li|tr|h[1-6])\\b[^>]*>', ' ', 'gi'), '<[^>]+>', '', 'g')"
+for _a, _b in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&#x27;", "chr(39)"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+    _BARE = f"replace({_BARE}, '{_a}', {_b})"
 
 
-@query()
-def strip_html_all(spark: SparkSession, d: str) -> DataFrame:
-    """All pages, entities resolved; DuckDB has no table of entities, so there is no SQL."""
+@query(f"SELECT page_id, trim(regexp_replace(replace({_BARE}, chr(160), ' '), '\\s+', ' ', 'g'), ' ') AS plain FROM tudelft_events")
+def strip_html(spark: SparkSession, d: str) -> DataFrame:
+    """All pages; the SQL resolves the entities that these pages hold."""
     return table(spark, d, "tudelft_events").select("page_id", text.strip_html(F.col("html")).alias("plain"))
 
 
@@ -343,24 +274,12 @@ def _trip(spark: SparkSession, d: str, source: str, body: F.Column) -> DataFrame
 _ESC = "replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
-@query("SELECT id AS url, replace(name, ',', ';') AS title, '20260901T200000' AS start_text FROM venues")
-def ics_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nSUMMARY:"), F.replace("name", F.lit(","), F.lit("\\;")), F.lit("\r\nDTSTART:20260901T200000\r\nURL:"), "id", F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR"))
-    return _trip(spark, d, "delft_wijk", body).select("url", "title", "start_text")
-
-
 @query("SELECT 'https://x.example/agenda/' || id AS url, name AS title, '2026-09-01T20:00:00' AS start_text FROM venues")
 def rss_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     body = F.concat(F.lit("<rss><channel><item><title>"), F.expr(_ESC), F.lit("</title><link>https://x.example/agenda/"), "id", F.lit("</link><startdate>2026-09-01T20:00:00</startdate></item></channel></rss>"))
     return _trip(spark, d, "delft_uitkalender", body).where("reject is null").select("url", "title", "start_text")
 
 
-@query("SELECT id AS url, name AS title, '2026-09-01' AS start_text FROM venues")
-def api_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    row = F.array(F.struct(F.col("name").alias("title"), F.lit("2026-09-01").alias("dtstart"), F.col("id").alias("link")))
-    return _trip(spark, d, "madrid_ayuntamiento_api", F.to_json(F.struct(row.alias("@graph")))).select("url", "title", "start_text")
-
-
 @query("SELECT id, name AS title, '/p/' || id AS link FROM venues")
 def page_links(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "venues").select("id", F.col("name").alias("title"), F.concat(F.lit("https://x.example/"), "id").alias("url"), F.concat(F.lit("<a href='/p/"), "id", F.lit("'>x</a><a href='https://y.example/'>y</a><a href=''>z</a>")).alias("body"))
@@ -368,21 +287,6 @@ def page_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(links, "url").select("id", "title", F.regexp_extract("link", "(/p/.*)$", 1).alias("link"))
 
 
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def dotted_path(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.try_variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
-
-
-@query("""WITH s AS (SELECT o_orderkey AS id, o_orderdate AS t FROM orders )
-SELECT id::VARCHAR AS event_id, strftime(t + to_days((7 * i)::INT), '%Y-%m-%d %H:%M:%S') AS start FROM s, range(0, 5) r(i)""")
-def rrule_expand(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderdate").alias("start_local"), F.lit("RRULE:FREQ=WEEKLY;COUNT=5").alias("rrule"), F.lit("Europe/Amsterdam").alias("zone"))
-    return recurrence.expand(e, "2026-08-01T00:00:00+00:00").select("event_id", F.date_format("start_local", "yyyy-MM-dd HH:mm:ss").alias("start"))
-
-
-SQL["rrule_expand"] = "SELECT o_orderkey::VARCHAR AS event_id, strftime(o_orderdate + to_days((7 * i)::INT), '%Y-%m-%d %H:%M:%S') AS start FROM orders, range(0, 5) r(i)"
-
-
 @query("""WITH r AS (SELECT l_orderkey AS k, l_shipdate AS t, l_linenumber AS n FROM lineitem)
 SELECT k, count(*) AS n_dates, string_agg(strftime(t, '%Y%m%dT%H%M%S'), ',' ORDER BY t, n) AS dates FROM r GROUP BY 1""")
 def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
@@ -392,82 +296,9 @@ def collapse_repeats(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.regexp_extract("title", r"(\d+)", 1).cast("long").alias("k"), F.col("n_dates").cast("long").alias("n_dates"), F.concat_ws(",", first, F.regexp_replace("rrule", "^RDATE:", "")).alias("dates"))
 
 
-AUDITED = """e AS (SELECT *, try_cast(substr(start_iso, 1, 19) AS TIMESTAMP) AS l, epoch(start_at) AS s, coalesce(description, '') AS d, coalesce(venue_name, '') AS v FROM canonical_events)"""
-
-
-@query(f"""WITH {AUDITED}, r AS (SELECT unnest([
-CASE WHEN regexp_matches(title, '^(column|opinie|interview|video|podcast|update|reactie|ingezonden)\\b', 'i') OR rtrim(title) LIKE '%?' THEN 'non_event.editorial_title' END,
-CASE WHEN length(d) > 1500 AND v = '' THEN 'non_event.longform_no_venue' END,
-CASE WHEN s < 1785542400 THEN 'temporal.past' END, CASE WHEN s > 1785542400 + 456 * 86400 THEN 'temporal.far_future' END,
-CASE WHEN hour(l) BETWEEN 2 AND 5 THEN 'temporal.small_hours' END,
-CASE WHEN epoch(end_at)::BIGINT < s::BIGINT THEN 'temporal.end_before_start' END, CASE WHEN epoch(end_at)::BIGINT - s::BIGINT > 50400 THEN 'temporal.long_duration' END,
-CASE WHEN regexp_matches(title, '&(amp|lt|gt|quot|nbsp|#\\d+|#x[0-9a-fA-F]+);') THEN 'text.html_entities' END,
-CASE WHEN rtrim(title) LIKE '%...' OR rtrim(title) LIKE '%…' THEN 'text.title_truncated' END,
-CASE WHEN regexp_matches(title, '\\s{{2,}}') OR title <> trim(title) OR regexp_matches(trim(title), '^[,.\\-|·]') THEN 'text.whitespace_punct' END,
-CASE WHEN is_free AND coalesce(price, '') <> '' THEN 'consistency.free_with_price' END,
-CASE WHEN len(list_distinct(list_transform(members, lambda m: m.source_id))) < len(members) THEN 'dedup.same_source_cluster' END]) AS c FROM e WHERE title IS NOT NULL)
-SELECT c AS "check", count(*) AS n FROM r WHERE c IS NOT NULL GROUP BY 1""")
-def audit_row_checks(spark: SparkSession, d: str) -> DataFrame:
-    told = ("non_event.editorial_title", "non_event.longform_no_venue", "temporal.past", "temporal.far_future", "temporal.small_hours", "temporal.end_before_start", "temporal.long_duration", "text.html_entities", "text.title_truncated", "text.whitespace_punct", "consistency.free_with_price", "dedup.same_source_cluster")
-    rows = audit.failed_rows(_events(spark, d).where("title is not null"), NOW)
-    return rows.where(F.col("check").isin(*told)).groupBy("check").agg(F.count("*").alias("n"))
-
-
-@query("""WITH x AS (SELECT unnest(source_ids) AS s, try_cast(substr(start_iso, 1, 19) AS TIMESTAMP) AS l FROM canonical_events), g AS (SELECT s, count(*) AS n, avg((strftime(l, '%H%M') = '0000')::INT) AS m, avg((day(l) = 1)::INT) AS f FROM x GROUP BY 1)
-SELECT 'temporal.midnight_source' AS "check", s FROM g WHERE m > 0.6 UNION ALL SELECT 'temporal.first_of_month_cluster', s FROM g WHERE f > 0.15 AND n > 5 UNION ALL SELECT 'volume.source_dominance', s FROM g WHERE n > 0.4 * (SELECT count(*) FROM canonical_events)
-UNION ALL SELECT 'consistency.orphan_venue_ref', id FROM canonical_events WHERE venue_id IS NOT NULL AND venue_id NOT IN (SELECT id FROM venues)
-UNION ALL SELECT 'volume.silent_source', id FROM registry WHERE enabled AND id NOT IN (SELECT DISTINCT s FROM x)""")
-def audit_group_checks(spark: SparkSession, d: str) -> DataFrame:
-    e, v, r = _events(spark, d), table(spark, d, "venues"), table(spark, d, "registry")
-    told = ("consistency.orphan_venue_ref", "volume.silent_source")
-    rows = audit.source_checks(e).withColumn("label", F.regexp_extract("label", "^([^:]+):", 1)).union(audit.group_checks(e, v, r).where(F.col("check").isin(*told)))
-    return rows.select("check", F.col("label").alias("s"))
-
-
 @query()
 def audit_all(spark: SparkSession, d: str) -> DataFrame:
-    return audit.audit(_events(spark, d).where("title is not null"), table(spark, d, "venues"), table(spark, d, "registry"), NOW)
-
-
-@query("""WITH m AS (SELECT id, unnest(members) AS m FROM canonical_events WHERE len(members) > 1), t AS (SELECT id, epoch(try_cast(m.start_iso AS TIMESTAMPTZ)) AS s FROM m WHERE substr(m.start_iso, 12, 8) <> '00:00:00')
-SELECT id, (max(s) - min(s))::BIGINT AS spread FROM t GROUP BY 1 HAVING max(s) - min(s) > 10800""")
-def audit_over_merge(spark: SparkSession, d: str) -> DataFrame:
-    m = table(spark, d, "canonical_events").where(F.size("members") > 1).select("id", F.explode("members").alias("m")).where("substr(m.start_iso, 12, 8) <> '00:00:00'")
-    second = F.unix_seconds(F.try_to_timestamp("m.start_iso"))
-    return m.groupBy("id").agg((F.max(second) - F.min(second)).alias("spread")).where("spread > 10800")
-
-
-HELD = """h AS (SELECT ordinal AS id, source_id AS source, lower(title) AS t, epoch(fetched_at)::BIGINT AS s FROM raw_records WHERE source_id LIKE 'delft%' AND title IS NOT NULL),
-c AS (SELECT ordinal AS id, lower(title) AS t, epoch(fetched_at)::BIGINT AS s FROM raw_records WHERE source_id LIKE 'tudelft%' AND title IS NOT NULL)"""
-
-
-def _held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    r = table(spark, d, "raw_records").where("title is not null").select(F.col("ordinal").alias("id"), F.col("source_id").alias("source"), F.lower("title").alias("t"), F.unix_seconds("fetched_at").alias("second"))
-    return r.where("source like 'delft%'"), r.where("source like 'tudelft%'")
-
-
-@query(f"WITH {HELD} SELECT source, count(*) AS total, count(*) FILTER (hit) AS matched, round(avg(hit::INT), 6) AS recall FROM (SELECT h.*, EXISTS (SELECT 1 FROM c WHERE c.t = h.t AND abs(c.s - h.s) <= 864000) AS hit FROM h) GROUP BY 1")
-def recall_measure(spark: SparkSession, d: str) -> DataFrame:
-    return measures.recall(*_held(spark, d), "t", 240)
-
-
-@query(f"""WITH {HELD}, o AS (SELECT count(*) AS n FROM h WHERE EXISTS (SELECT 1 FROM c WHERE c.t = h.t AND abs(c.s - h.s) <= 864000)), a AS (SELECT count(*) AS n FROM h), b AS (SELECT count(*) AS n FROM c)
-SELECT a.n AS n_a, b.n AS n_b, o.n AS overlap, round((a.n * b.n / nullif(o.n, 0))::DOUBLE, 4) AS estimate FROM a, b, o""")
-def capture_recapture(spark: SparkSession, d: str) -> DataFrame:
-    return measures.capture_recapture(*_held(spark, d), "t", 240).withColumn("estimate", F.round("estimate", 4))
-
-
-@query()
-def evaluate_prf(spark: SparkSession, d: str) -> DataFrame:
-    h, c = _held(spark, d)
-    return measures.evaluate(h, c, measures.near_in_time(h, c, "t", 240))
-
-
-@query()
-def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
-    rows = checkpointed(resolve.claims(table(spark, d, "raw_records"), table(spark, d, "registry")))
-    scored = checkpointed(resolve.scores(rows, resolve.candidates(rows)))
-    return measures.sweep(scored, rows.select(F.col("ordinal").alias("node"), "source_id"), (0.60, 0.72, 0.80))
+    return audit.audit(events_of(spark, d).where("title is not null"), table(spark, d, "venues"), table(spark, d, "registry"), NOW)
 
 
 @query("""SELECT id FROM registry WHERE enabled AND (id IN (SELECT id FROM registry WHERE city = 'Delft') OR rtrim(url, '/') IN (SELECT rtrim(url, '/') FROM registry WHERE city = 'Delft'))""")
@@ -478,15 +309,6 @@ def holdout_leak(spark: SparkSession, d: str) -> DataFrame:
     return registry.leaked(r.where("enabled"), r.where("city = 'Delft'")).select("id")
 
 
-@query("""SELECT source_id, arg_max(digest, (t, digest)) AS digest FROM (SELECT source_id, fetched_at AS t, substr(sha256(description), 1, 24) AS digest FROM raw_records WHERE description IS NOT NULL) GROUP BY 1""")
-def snapshot_digest(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "raw_records").where("description is not null").select("source_id", F.col("fetched_at").alias("t"), keys.digest(F.col("description")).alias("digest"))
-    return rows.groupBy("source_id").agg(F.max_by("digest", F.struct("t", "digest")).alias("digest"))
-
-
-SQL["snapshot_digest"] = """SELECT source_id, digest FROM (SELECT source_id, fetched_at AS t, substr(sha256(description), 1, 24) AS digest FROM raw_records WHERE description IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY t DESC, digest DESC) = 1"""
-
-
 @query("""SELECT id, substr(sha1(source_ids[1] || '|' || lower(title) || '|' || start_iso), 1, 16) AS fingerprint, replace(rtrim(translate(to_base64((epoch(start_at)::BIGINT::VARCHAR || '|' || id)::BLOB), '+/', '-_'), '='), '', '') AS cursor FROM canonical_events WHERE title IS NOT NULL""")
 def identity_keys(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "canonical_events").where("title is not null")
@@ -544,9 +366,8 @@ def probe_best(spark: SparkSession, d: str) -> DataFrame:
     return probe.best(found).groupBy(F.substring_index("url", " ", 1).alias("url"), "tier").agg(F.count("*").alias("pages"))
 
 
-@query("SELECT source_type, count(*) AS n, bool_or(source_type IN ('jsonld', 'jsonld_index', 'ics', 'rss', 'api', 'wp_rest')) AS zero_token, min(trust) AS best_trust FROM registry GROUP BY 1")
-def source_overview(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "registry").groupBy("source_type").agg(F.count("*").alias("n"), F.bool_or(F.col("source_type").isin(*rules.ZERO_TOKEN)).alias("zero_token"), F.min("trust").alias("best_trust"))
+# the queries of these modules register themselves
+from kiosko.plans import extraction, resolution, surface  # noqa: E402, F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,10 +8,12 @@ for a payload that could not be read. Nothing is raised for bad input, so one pa
 
 from __future__ import annotations
 
+import datetime as dt
 import html
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 from xml.etree import ElementTree
@@ -20,10 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiosko.functions import rules
+from kiosko.functions import keys, rules, text
 
 FIELDS = "title start_text end_text doc_time description venue_name venue_address venue_city lat lon price_text url rrule reject error".split()
-SCHEMA = "source_id string, position int, " + ", ".join(f"{f} {'double' if f in ('lat', 'lon') else 'string'}" for f in FIELDS)
+SCHEMA = "source_id string, fetched_at timestamp, position int, " + ", ".join(f"{f} {'double' if f in ('lat', 'lon') else 'string'}" for f in FIELDS)
+#: Countries in which a bare price is in euros.
+EURO = ("NL", "ES", "DE", "FR", "BE")
 CONTAINERS = ("@graph", "itemListElement", "item", "subEvent", "mainEntity")
 _script = re.compile(r"<script\b[^>]*ld\+json[^>]*>(.*?)</script\s*>", re.I | re.S)
 
@@ -72,8 +76,12 @@ def jsonld(body: str, spec: dict) -> Iterator[dict]:
             if not start or not title or (title.lower(), start) in seen:
                 continue
             seen.add((title.lower(), start))
+            door = _text(n.get("doorTime", n.get("doortime")))
+            # a bare date with the clock time given as the opening of the doors
+            if door and re.fullmatch(r"\s*\d{4}-\d{2}-\d{2}\s*", start) and (clock := re.search(r"\d{1,2}:\d{2}(?::\d{2})?", door)):
+                start = f"{start.strip()} {clock.group()}"
             place, offer = _first(n.get("location")), _first(n.get("offers"))
-            got = {"title": title, "start_text": start, "end_text": _text(n.get("endDate", n.get("enddate"))), "doc_time": _text(n.get("doorTime")), "description": _text(n.get("description")), "url": _text(n.get("url", n.get("URL")))}
+            got = {"title": title, "start_text": start, "end_text": _text(n.get("endDate", n.get("enddate"))), "doc_time": door, "description": _text(n.get("description")), "url": _text(n.get("url", n.get("URL")))}
             if isinstance(place, str):
                 got["venue_name"] = place
             elif isinstance(place, dict):
@@ -161,20 +169,42 @@ def joined_time(day: str | None, clock: str | None) -> str | None:
     return f"{day}T{clock.strip()}" if clock and clock.strip() else day
 
 
+def _next_day(day: str) -> str:
+    try:
+        return (dt.date.fromisoformat(day[:10]) + dt.timedelta(days=1)).isoformat()
+    except ValueError:
+        return day
+
+
 def wp_rest(body: str, spec: dict) -> Iterator[dict]:
+    """Posts of a content API by the paths that the source names; title and date are needed, the rest is not. An end
+    before its start is of the next day; a price that is a number is in the currency of the country."""
     rows = json.loads(body)
+    if isinstance(rows, dict):
+        if "code" in rows and "message" in rows:
+            raise ValueError(f"the source says {rows['code']}")
+        rows = rows.get("items", [])
     if not isinstance(rows, list):
         raise ValueError("not a list of posts")
     at = spec.get("selectors") or {}
+    if "title" not in at or "date" not in at:
+        raise ValueError("no paths of title and date")
+    plain = lambda t: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", t))).strip() or None
     for r in rows:
-        price = dotted(r, at.get("price"))
-        if isinstance(price, (int, float)) and not isinstance(price, bool) and spec.get("country") in ("NL", "ES", "DE", "FR", "BE"):
-            price = f"€{price:.2f}"
-        clean = lambda k, d: html.unescape(t) if (t := _text(dotted(r, at.get(k, d)))) else None
+        said = lambda key: _text(dotted(r, at[key])) if key in at else None  # noqa: B023, E731
+        title, day = said("title"), said("date")
+        if not title or not day:
+            continue
+        price = dotted(r, at["price"]) if "price" in at else None
+        if isinstance(price, (int, float)) and not isinstance(price, bool):
+            price = f"{'€' if spec.get('country') in EURO else ''}{price:.2f}"
+        start, end = joined_time(day, said("time")), joined_time(day, said("end_time")) if said("end_time") else None
+        if end and end < start:
+            end = joined_time(_next_day(joined_time(day, None)), said("end_time"))
+        venue, told = said("venue"), said("description")
         yield {
-            "title": clean("title", "title.rendered"), "url": _text(dotted(r, at.get("url", "link"))), "description": clean("description", "content.rendered"),
-            "start_text": joined_time(_text(dotted(r, at.get("date", "date"))), _text(dotted(r, at.get("start_time")))), "end_text": joined_time(_text(dotted(r, at.get("date", "date"))), _text(dotted(r, at.get("end_time")))) if at.get("end_time") else None,
-            "venue_name": clean("venue", ""), "price_text": _text(price),
+            "title": plain(title), "start_text": start, "end_text": end, "description": plain(told) if told else None, "venue_name": plain(venue) if venue else None,
+            "price_text": _text(price), "url": _text(dotted(r, at.get("url", "link"))),
         }
 
 
@@ -275,7 +305,8 @@ def wrapper(body: str, spec: dict) -> Iterator[dict]:
         return got or None
 
     for n in found:
-        yield {f: pick(n, k) for f, k in (("title", "title"), ("start_text", "date"), ("venue_name", "venue"), ("description", "description"), ("price_text", "price"))} | {"url": spec.get("url")}
+        start = joined_time(pick(n, "start") or pick(n, "date"), pick(n, "start_time"))
+        yield {"start_text": start} | {f: pick(n, k) for f, k in (("title", "title"), ("venue_name", "venue"), ("description", "description"), ("price_text", "price"))} | {"url": spec.get("url")}
 
 
 TIERS: dict[str, Callable[[str, dict], Iterator[dict]]] = {"jsonld": jsonld, "jsonld_index": jsonld, "ics": ics, "rss": rss, "wp_rest": wp_rest, "api": api, "wrapper": wrapper}
@@ -290,27 +321,73 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     raise ValueError(f"no such tier: {r['tier']}")
                 spec = {"selectors": dict(r["selectors"]) if r["selectors"] is not None else {}, "date_from": r["date_from"], "country": r["country"], "url": r["url"], "venues": [v for v in (r["venues"] if r["venues"] is not None else [])]}
                 for i, got in enumerate(TIERS[r["tier"]](r["body"] or "", spec)):
-                    out.append((r["source_id"], i, *[got.get(f) for f in FIELDS]))
+                    out.append((r["source_id"], r["fetched_at"], i, *[got.get(f) for f in FIELDS]))
             except Exception as e:  # noqa: BLE001
-                out.append((r["source_id"], -1, *[None] * (len(FIELDS) - 1), f"{type(e).__name__}: {e}"[:200]))
-        yield pd.DataFrame(out, columns=["source_id", "position", *FIELDS])
+                out.append((r["source_id"], r["fetched_at"], -1, *[None] * (len(FIELDS) - 1), f"{type(e).__name__}: {e}"[:200]))
+        yield pd.DataFrame(out, columns=["source_id", "fetched_at", "position", *FIELDS]).astype({"fetched_at": b["fetched_at"].dtype})
 
 
 def extract(payloads: DataFrame, registry: DataFrame, venues: list[str] | None = None) -> DataFrame:
     """Records of payloads (``source_id, body``) by the tier of their source; ``venues`` are known names in lower case, a bounded list."""
     spec = registry.select(F.col("id").alias("source_id"), F.col("source_type").alias("tier"), "selectors", "date_from", "country", "url")
-    rows = payloads.select("source_id", "body").join(F.broadcast(spec), "source_id")
+    at = F.col("fetched_at") if "fetched_at" in payloads.columns else F.lit(None).cast("timestamp")
+    rows = payloads.select("source_id", "body", at.alias("fetched_at")).join(F.broadcast(spec), "source_id")  # a row for each source
     known = F.array(*[F.lit(v) for v in (venues or [])]).cast("array<string>")
     return rows.withColumn("venues", known).mapInPandas(_read, SCHEMA)
 
 
+def records(payloads: DataFrame, registry: DataFrame, venues: list[str] | None = None) -> DataFrame:
+    """raw_records of payloads ``source_id, body, fetched_at``: parsed by tier, cleaned, with the price, free flag and
+    venue they state, the source's own venue filled in, and stamped with tier, trust and time. Listings that were left
+    out and payloads that could not be read have no row here; ``extract`` gives them.
+
+    ``start_raw`` and ``end_raw`` are as the source wrote them; ``operators.resolve`` reads them.
+    """
+    stamped = payloads.select("source_id", "body", F.col("fetched_at").cast("timestamp").alias("fetched_at"))
+    parsed = extract(stamped, registry, venues).where("error is null and reject is null")
+    spec = registry.select(F.col("id").alias("source_id"), F.col("url").alias("source_url"), "trust", F.col("source_type").alias("source_type"), "locale")
+    rows = with_venue_default(parsed, registry).join(F.broadcast(spec), "source_id")
+    rows = rows.withColumns({"title": text.clean_text(F.col("title")), "description": text.clean_text(text.strip_html(F.col("description")))})
+    rows = rows.where(F.col("title").isNotNull() & F.col("start_text").isNotNull())
+    blob = F.concat_ws(" ", "price_text", "description", "title")
+    free = reduce(lambda acc, k: acc.when(F.col("locale") == k, text.detect_free(blob, k)), rules.FREE_MARKERS, F.when(F.lit(False), F.lit(True))).otherwise(text.detect_free(blob, "en"))
+    name = text.clean_text(F.coalesce("venue_name", "venue_address"))
+    empty = F.lit(None).cast("string")
+    venue = F.when(name.isNotNull(), F.struct(name.alias("name"), text.clean_text(F.col("venue_address")).alias("address"), text.clean_text(F.col("venue_city")).alias("city"), "lat", "lon", empty.alias("geocode_source"), empty.alias("default_price"), empty.alias("notes")))
+    rows = rows.withColumn("_price", F.when(F.col("price_text").rlike(r"^\d+(?:\.\d+)?$"), F.lit(None)).otherwise(text.parse_price(F.col("price_text"))))
+    return rows.select(
+        F.xxhash64("source_id", "fetched_at", "position", "title", "start_text").alias("ordinal"), keys.fingerprint(F.col("source_id"), F.col("title"), F.col("start_text")).alias("fingerprint"),
+        "source_id", "source_url", "trust", "source_type", "title", F.col("start_text").alias("start_raw"), F.col("end_text").alias("end_raw"), "rrule", "description",
+        venue.alias("venue"), F.col("_price").alias("price"), free.alias("is_free"), F.coalesce("url", "source_url").alias("url"), "fetched_at",
+    )
+
+
+def status(payloads: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``source_id, records, error`` of each source that was asked: how many records it gave, or what went wrong."""
+    got = parsed.groupBy("source_id").agg(F.count_if(F.col("error").isNull() & F.col("reject").isNull()).alias("records"), F.min("error").alias("error"))
+    asked = payloads.groupBy("source_id").agg(F.count("body").alias("_bodies"))
+    rows = asked.join(got, "source_id", "left").withColumn("records", F.coalesce("records", F.lit(0)))
+    return rows.select("source_id", "records", F.coalesce("error", F.when(F.col("_bodies") == 0, "no payload")).alias("error"))
+
+
+def stitched(index: DataFrame, details: DataFrame, most: int = 40) -> DataFrame:
+    """``source_id, fetched_at, body``: the JSON-LD blocks of the detail pages that an index page links to, as one payload
+    of its source, in order of the links. ``index`` has ``source_id, url, body, fetched_at``, ``details`` ``url, body``."""
+    links = page_links(index, "body", "url", most).join(index.select("url", "source_id", "fetched_at"), "url")
+    blocks = F.array_join(F.regexp_extract_all(F.col("_body"), F.lit(r"(?is)(<script\b[^>]*ld\+json[^>]*>.*?</script\s*>)"), F.lit(1)), "\n")
+    pages = details.select(F.col("url").alias("link"), F.col("body").alias("_body"))
+    rows = links.join(pages, "link").select("source_id", "fetched_at", F.struct("n", blocks.alias("b")).alias("x"))  # at most `most` of a page
+    return rows.groupBy("source_id", "fetched_at").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["b"]), "\n").alias("body"))
+
+
 def with_venue_default(records: DataFrame, registry: DataFrame) -> DataFrame:
     """Sources of one venue: its name and address fill in, and a name the page gave is a room, put before the description."""
     spec = registry.where("venue_name is not null").select(F.col("id").alias("source_id"), F.col("venue_name").alias("_name"), F.col("venue_address").alias("_address"), F.col("city").alias("_city"))
     rows = records.join(F.broadcast(spec), "source_id", "left")
     room = F.col("_name").isNotNull() & F.col("venue_name").isNotNull() & (F.lower("venue_name") != F.lower("_name"))
     rows = rows.withColumn("description", F.when(room, F.concat_ws(". ", "venue_name", "description")).otherwise(F.col("description")))
-    return rows.withColumns({"venue_name": F.coalesce("_name", "venue_name"), "venue_address": F.coalesce("venue_address", "_address"), "venue_city": F.coalesce("venue_city", "_city")}).drop("_name", "_address", "_city")
+    own = lambda c, d: F.when(F.col("_name").isNotNull(), F.col(d)).otherwise(F.col(c))
+    return rows.withColumns({"venue_name": own("venue_name", "_name"), "venue_address": own("venue_address", "_address"), "venue_city": own("venue_city", "_city")}).drop("_name", "_address", "_city")
 
 
 def rejects(records: DataFrame) -> DataFrame:
@@ -350,6 +427,33 @@ def page_links(pages: DataFrame, body: str, url: str, most: int | None = None) -
     return pages.select(F.col(url).alias("url"), F.posexplode(links(body, url)).alias("n", "link"))
 
 
+def decoded(raw: Column, content_type: Column) -> Column:
+    """Bytes of a payload as text, over Arrow batches."""
+
+    @F.pandas_udf("string")
+    def run(bodies: pd.Series, kinds: pd.Series) -> pd.Series:
+        return pd.Series([None if b is None else decode_bytes(bytes(b), k or "") for b, k in zip(bodies, kinds)])
+
+    return run(raw, content_type)
+
+
+def at_path(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where the path leads nowhere or the text is no JSON."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                got = dotted(json.loads(t), path) if t else None
+            except ValueError:
+                return None
+            return got if got is None or isinstance(got, str) else json.dumps(got)
+
+        return texts.map(one)
+
+    return run(document)
+
+
 def decode_bytes(raw: bytes, content_type: str = "") -> str:
     """Bytes to text: the declared charset, then the page's own, then UTF-8, cp1252, latin-1; one that leaves garbled signs is passed over."""
     import unicodedata

@@ -76,6 +76,12 @@ def best(found: DataFrame) -> DataFrame:
     return found.groupBy("url").agg(F.min_by(F.struct("tier", "detail", "events"), order).alias("b")).select("url", "b.*")
 
 
+def summary(pages: DataFrame, best_: DataFrame) -> DataFrame:
+    """One row ``pages, verified, events``: how many pages yield events without a language model, and how many."""
+    got = best_.agg(F.count_if(F.col("events") > 0).alias("verified"), F.coalesce(F.sum(F.when(F.col("events") > 0, F.col("events"))), F.lit(0)).alias("events"))
+    return pages.select("url").distinct().agg(F.count("*").alias("pages")).crossJoin(got)
+
+
 def suggestion(url: Column, tier: Column, city: Column) -> Column:
     """A registry entry for a route, as text."""
     return F.concat(F.lit("- id: "), keys.source_slug(url), F.lit("\n  city: "), city, F.lit("\n  type: "), tier, F.lit("\n  url: "), url, F.lit("\n  enabled: false\n"))
