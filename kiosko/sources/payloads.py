@@ -73,13 +73,13 @@ def jsonld(body: str, spec: dict) -> Iterator[dict]:
                 continue
             start = _text(n.get("startDate", n.get("startdate")))
             title = _text(n.get("name"))
-            if not start or not title or (title.lower(), start) in seen:
-                continue
-            seen.add((title.lower(), start))
             door = _text(n.get("doorTime", n.get("doortime")))
             # a bare date with the clock time given as the opening of the doors
-            if door and re.fullmatch(r"\s*\d{4}-\d{2}-\d{2}\s*", start) and (clock := re.search(r"\d{1,2}:\d{2}(?::\d{2})?", door)):
+            if start and door and re.fullmatch(r"\s*\d{4}-\d{2}-\d{2}\s*", start) and (clock := re.search(r"\d{1,2}:\d{2}(?::\d{2})?", door)):
                 start = f"{start.strip()} {clock.group()}"
+            if not start or not title or (title.lower(), start) in seen:
+                continue
+            seen.add((title.lower(), start))
             place, offer = _first(n.get("location")), _first(n.get("offers"))
             got = {"title": title, "start_text": start, "end_text": _text(n.get("endDate", n.get("enddate"))), "doc_time": door, "description": _text(n.get("description")), "url": _text(n.get("url", n.get("URL")))}
             if isinstance(place, str):

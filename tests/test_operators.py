@@ -135,17 +135,104 @@ def test_measures(spark):
     df = spark.createDataFrame(runs, "id long, source_id string, records int, ok boolean, x int")
     assert {(r.source_id, r.kind) for r in measures.yield_regressions(df, "source_id").collect()} == {("up", "collapsed"), ("half", "degraded")}
     assert {r.source_id: r.failures for r in measures.breakage(df, "source_id").collect()}["fail"] == 3
-    held = spark.createDataFrame([(1, "h", "a", 0), (2, "h", "a", 7 * 3600), (3, "h", "b", 0)], "id long, source string, t string, second long")
-    corpus = spark.createDataFrame([(9, "c", "a", 6 * 3600), (8, "c", "a", -1)], "id long, source string, t string, second long")
-    assert [(r.total, r.matched) for r in measures.recall(held, corpus, "t").collect()] == [(3, 2)]
-    c = measures.capture_recapture(held, corpus, "t").first()
-    assert (c.overlap, c.estimate) == (2, 3.0) and measures.capture_recapture(held.where("t = 'b'"), corpus, "t").first().estimate is None
-    e = measures.evaluate(held, corpus, measures.near_in_time(held, corpus, "t")).first()
-    assert (e.matched, round(e.precision, 3), round(e.recall, 3)) == (2, 1.0, 0.667)
     city = spark.createDataFrame([("Delft", None, True), ("Rotterdam", None, False), (None, "Plein 1, Den Haag", False), (None, "Plein 1", True), (None, None, True), ("", "x delft", True)], "c string, a string, want boolean")
     assert all(r.got == r.want for r in city.withColumn("got", measures.in_target_city(F.col("c"), F.col("a"), "Delft")).collect())
 
 
+H = "id long, source string, city string, second long, norm string, in_scope boolean, venue string, is_free boolean"
+
+
+def listed(spark, rows):
+    full = [(i, src, "Delft", s, t, scope, v, f) for i, src, s, t, scope, v, f in rows]
+    return spark.createDataFrame(full, H)
+
+
+def test_same_event_recall_and_capture(spark):
+    hour = 3600
+    held = listed(spark, [(1, "h", 10 * hour, "jazz avond wijnhaven", True, None, None), (2, "h", 10 * hour, "jazz avond", True, None, None), (3, "h", 10 * hour, "poppentheater rood", True, None, None), (4, "h", 10 * hour, "elders", False, None, None), (5, "h", -1, "te vroeg", True, None, None), (6, "h", 91 * 24 * hour, "te laat", True, None, None), (7, "h", 10 * hour, "", True, None, None)])
+    corpus = listed(spark, [(90, "c", 16 * hour, "wijnhaven jazz avond live", True, None, None), (91, "c", 16 * hour + 1, "poppentheater rood", True, None, None), (92, "c", 10 * hour, "jazz", True, None, None), (93, "c", 10 * hour, "poppenkast rood", True, None, None)])
+    got = {(r.a, r.b) for r in measures.same_event(held, corpus).collect()}
+    # at six hours, not a second more; a title inside another counts, one that is merely like it (0.77) does not
+    assert got == {(1, 90), (2, 90), (1, 92), (2, 92)}
+    assert [(r.source, r.total, r.matched, r.out_of_scope, r.recall) for r in measures.recall(held, corpus, 0).collect()] == [("h", 4, 2, 1, 0.5)]
+    assert {r.id for r in measures.misses(held, corpus, 0).collect()} == {3, 7}
+    c = measures.capture_recapture(held, corpus, 8, 0).first()
+    assert (c.n_a, c.n_b, c.overlap, c.estimate, c.coverage) == (4, 4, 2, 8.0, 1.0)
+    none = measures.capture_recapture(held.where("id = 3"), corpus, 8, 0).first()
+    assert none.estimate is None and none.coverage is None
+    assert measures.recall(held.limit(0), corpus, 0).count() == 0 and measures.same_event(held, corpus.limit(0)).count() == 0
+
+
+def test_evaluation_pairs_greedily_and_asks_fields(spark):
+    gold = listed(spark, [(1, "a", 0, "jazz avond", True, "Zaal Rood", True), (2, "a", 0, "jazz avond wijnhaven", True, "Kerk", None), (3, "b", 0, "lezing", True, None, False)])
+    made = listed(spark, [(7, None, 1800, "jazz avond", True, "zaal rood (delft)", False), (8, None, 1801, "wijnhaven jazz avond", True, "Theater", None), (9, None, 0, "quiz", True, None, None)])
+    assert {(r.a, r.b) for r in measures.paired(gold, made).collect()} == {(1, 7), (2, 8)}
+    e = measures.evaluate(gold, made).first()
+    assert (e.matched, e.missed, e.spurious, e.precision, e.recall, e.f1) == (2, 1, 1, 0.666667, 0.666667, 0.666667)
+    assert (e.start_right, e.venue_right, e.free_right) == (0.5, 0.5, 0.0)
+    assert {r.source: (r.found, r.total) for r in measures.recall_by_source(gold, made).collect()} == {"a": (2, 2), "b": (0, 1)}
+    nothing = measures.evaluate(gold, made.limit(0)).first()
+    assert (nothing.matched, nothing.precision, nothing.f1) == (0, 0.0, 0.0)
+
+
+def test_unknown_trust_comes_last_and_events_carry_their_sources(spark):
+    df, reg = raw(spark)
+    df = df.withColumn("trust", F.when(F.col("source_id") == "gem", None).otherwise(F.col("trust")))
+    e = [r for r in resolve.deduplicate(df, reg).collect() if r.n_members == 3][0]
+    assert e.title == "Jazzavond @ Wijnhaven (live)" and e.source_ids == ["gem", "krant", "zaal"] and e.category == "music"
+    known = reg.withColumn("trust", F.when(F.col("id") == "gem", 1).otherwise(3))
+    assert [r.title for r in resolve.deduplicate(df, known).collect() if r.n_members == 3] == ["Jazzavond Wijnhaven"]
+    rows = resolve.claims(df, known)
+    m = resolve.members(rows, resolve.clusters(rows)).where("cluster = 1").orderBy("position").collect()
+    assert [(r.position, r.source_id) for r in m] == [(1, "gem"), (2, "zaal"), (3, "krant")]
+
+
+def test_origins_and_history(spark):
+    rows = [("e", "title", "a", 2, "rss", "De Jazz!"), ("e", "title", "b", None, "ics", "Poppen"), ("e", "title", "c", 2, "ics", "jazz"), ("e", "start", "a", 1, "rss", "2026-09-01T20:10:00+02:00"), ("e", "start", "b", 3, "rss", "2026-09-01T18:50:00Z"), ("e", "start", "c", 3, "rss", "2026-09-01T21:00:00+02:00"), ("e", "url", "a", 1, "rss", "")]
+    df = spark.createDataFrame(rows, "event_id string, field string, source_id string, trust int, tier string, claim string")
+    got = {r.field: (r.value, r.source_id, r.agreeing, r.dissenting) for r in resolve.origins(df).collect()}
+    assert got == {"title": ("jazz", "c", 2, 1), "start": ("2026-09-01T20:10:00+02:00", "a", 2, 1)}
+    log = spark.createDataFrame([("e", "title", None, "x", 1, 1), ("e", "title", "x", "jazz", 2, 2), ("e", "start", None, "2026-09-01T20:00:00+02:00", 1, 3)], "event_id string, field string, old_value string, new_value string, changed_at int, id int")
+    new = resolve.recorded(resolve.origins(df), log, F.lit(9)).collect()
+    assert [(r.field, r.old_value, r.new_value) for r in new] == [("start", "2026-09-01T20:00:00+02:00", "2026-09-01T20:10:00+02:00")]
+    assert resolve.recorded(resolve.origins(df), log.limit(0), F.lit(9)).where("old_value is null").count() == 2
+    assert [r.new_value for r in resolve.history(log, "e").collect()] == ["jazz"]
+
+
+def test_near_venues_equal_brute_force(spark):
+    from kiosko.functions import similarity
+
+    rng = random.Random(4)
+    names = {"theater roodhuis"}
+    while len(names) < 150:
+        base = rng.choice(sorted(names))
+        i = rng.randrange(len(base))
+        names.add(rng.choice([base[:i] + rng.choice("abc ") + base[i:], base[:i] + base[i + 1 :], "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(3, 30)))]).strip() or "x")
+    norm = {" ".join(w for w in n.split() if w not in ("de", "het")) for n in names}
+    got = {(r.a, r.b) for r in audit.near_venues(spark.createDataFrame([(n,) for n in norm], "name string")).collect()}
+    assert got == {(a, b) for a in norm for b in norm if a < b and similarity.ratio(a, b) > 90} and len(got) > 20
+
+
+def test_first_of_month_is_a_check_of_the_corpus(spark):
+    v = spark.createDataFrame([], "id string, name string, city string, lat double, lon double")
+    r = spark.createDataFrame([], "id string, enabled boolean")
+    rows = [row(i, start=f"2026-{1 + i % 12:02d}-{1 if i < 8 else 3 + i % 20:02d} 20:00:00") for i in range(40)]
+    found = lambda x: {y.check: y["count"] for y in audit.audit(spark.createDataFrame(x, E), v, r, 0).collect()}
+    assert found(rows)["temporal.first_of_month_cluster"] == 8 and "temporal.first_of_month_cluster" not in found(rows[2:] + rows[20:38])
+
+
+def test_stamps_of_places(spark):
+    from kiosko.functions import keys
+
+    P = "struct<name string, address string, city string, lat double, lon double, geocode_source string, default_price string, notes string>"
+    df = spark.createDataFrame([(1, "a", ("Zaal Rood", None, None, None, None, None, None, None)), (2, "a", ("Zaal Rood", None, "Delft", 1.0, 2.0, None, None, None)), (3, "a", ("De Kelder", None, "Delft", None, None, None, None, None)), (4, "b", None), (5, "zz", ("Nergens", None, None, None, None, None, None, None))], f"ordinal long, source_id string, venue {P}")
+    reg = spark.createDataFrame([("a", "Delft"), ("b", "Delft")], "id string, city string")
+    cache = spark.createDataFrame([("Zaal Rood Delft", "Delft", 52.0, 4.3, "pdok")], "n string, c string, lat double, lon double, source string").select(keys.venue_key(F.col("n"), F.col("c")).alias("id"), "lat", "lon", "source")
+    hand = spark.createDataFrame([("Kelder", 52.1, 4.4)], "name string, lat double, lon double")
+    got = {r.ordinal: r.venue and (r.venue.city, r.venue.lat, r.venue.geocode_source) for r in geography.stamped(df, reg, cache, hand).collect()}
+    assert got == {1: ("Delft", 52.0, "pdok"), 2: ("Delft", 1.0, None), 3: ("Delft", 52.1, "override"), 4: None, 5: (None, None, None)}
+
+
 def test_geography(spark):
     v = spark.createDataFrame([("Café X | Delft — Officiële site", "Plein 1", "Delft"), ("De kerk", None, "Delft"), ("Delft", "", "Delft")], "n string, a string, c string")
     got = [(r.name, r.q) for r in v.withColumn("name", geography.clean_name(F.col("n"), F.col("c"))).withColumn("q", geography.ladder(F.col("name"), F.col("a"), F.col("c"))).collect()]
@@ -177,7 +264,7 @@ def test_audit(spark):
     ok = spark.createDataFrame([row(0, title="Poppentheater voor kinderen")], E)
     clean = {r.check: r.severity for r in audit.audit(ok, venues.where("id = 'v'"), registry.where("id = 's0'"), 1785542400).collect()}
     assert "ERROR" not in clean.values(), clean
-    df = spark.createDataFrame([row(i, **k) for i, k in enumerate(BAD.values())] + [row(50, title="Jazz in de tuin van het huis"), row(51, title="Jazz in de tuin van het huiz"), row(52, venue_id="weg"), row(52)], E)
+    df = spark.createDataFrame([row(i, **k) for i, k in enumerate(BAD.values())] + [row(50, title="Jazz in de tuin van het huis"), row(51, title="Jazz in de tuin van het huizen"), row(52, venue_id="weg"), row(52)], E)
     got = {r.check: r for r in audit.audit(df, venues, registry, 1785542400).collect()}
     for check in [*BAD, "dedup.missed_merges", "venue.near_duplicates", "venue.outside_bbox", "venue.bad_name", "consistency.orphan_venue_ref", "consistency.duplicate_ids", "volume.silent_source", "distribution.category"]:
         assert check in got and got[check]["count"] >= 1 and 1 <= len(got[check].examples) <= 5, check

@@ -20,11 +20,11 @@ def norm(t: str | None) -> str:
 def test_titles_and_trigrams_of_all_rows(spark):
     titles = pd.read_parquet(f"{SMALL}/raw_records.parquet", columns=["ordinal", "title"]).set_index("ordinal")["title"]
     assert any(t and not t.isascii() for t in titles)
-    got = {r.ordinal: r.norm for r in Q["normalize_titles_all"](spark, SMALL).collect()}
+    got = {r.ordinal: r.norm for r in Q["normalize_titles"](spark, SMALL).collect()}
     assert got == {i: norm(t) for i, t in titles.items()}
-    count = lambda s: len({s[i : i + 3] for i in range(max(1, len(s) - 2))}) if s else 0
-    grams = {r.ordinal: r.n_grams for r in Q["title_trigrams_all"](spark, SMALL).collect()}
-    assert grams == {i: count(norm(t).replace(" ", "")) for i, t in titles.items()}
+    cut = lambda s: ",".join(sorted({s[i : i + 3] for i in range(max(1, len(s) - 2))})) if s else ""
+    grams = {r.ordinal: r.grams for r in Q["title_trigrams"](spark, SMALL).collect()}
+    assert grams == {i: cut(norm(t).replace(" ", "")) for i, t in titles.items()}
 
 
 def test_pages_with_entities_are_stripped_too(spark):
@@ -33,5 +33,5 @@ def test_pages_with_entities_are_stripped_too(spark):
     for i, t in pages.items():
         bare = re.sub(r"<[^>]+>", "", re.sub(r"(?i)<\s*/?\s*(br|p|div|li|tr|h[1-6])\b[^>]*>", " ", t)) if t else t
         want[i] = " ".join(html.unescape(bare).split()) if t and ("<" in t or "&" in t) else t
-    got = {r.page_id: r.plain for r in Q["strip_html_all"](spark, SMALL).collect()}
+    got = {r.page_id: r.plain for r in Q["strip_html"](spark, SMALL).collect()}
     assert got == want and any("&" in t for t in pages if t)
