@@ -74,19 +74,23 @@ def _plain(text: str | None) -> str:
     return addresses.fold(text)
 
 
-def word_levels(values: DataFrame, text: str) -> dict[str, int]:
-    """The level of rarity of each word that is not of the rarest kind, among the distinct texts of a column."""
+def word_levels(values: DataFrame, *columns: str) -> list[dict[str, int]]:
+    """For each column the level of rarity of each word that is not of the rarest kind, among the distinct texts of it."""
     marked = "".join(chr(c) for c, p in addresses._plain.items() if len(p) == 1 and 0xC0 <= c)
-    plain = F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), marked, "".join(addresses._plain[ord(c)] for c in marked))
+    plain = F.translate(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), marked, "".join(addresses._plain[ord(c)] for c in marked))
     words = F.array_distinct(F.regexp_extract_all(plain, F.lit("([a-z0-9]{2,})"), F.lit(1)))
-    texts = values.where(F.col(text).isNotNull()).select(text).distinct()
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("text")) for i, c in enumerate(columns)])
+    texts = values.select(F.explode(each).alias("x")).where("x.text is not null").select("x.i", "x.text").distinct()
     # the empty word counts the texts
-    counts = stored(texts.select(F.explode(F.concat(F.array(F.lit("")), words)).alias("w")).groupBy("w").agg(F.count("*").alias("n")))
-    total = counts.where("w = ''").select("n").first()
-    if total is None:
-        return {}
-    many = counts.where("w <> ''").where(F.col("n") > RARE_SHARE * total.n).collect()
-    return {r.w: max(1, round(STEPS * math.log(total.n / r.n))) for r in many}
+    counts = stored(texts.select("i", F.explode(F.concat(F.array(F.lit("")), words)).alias("w")).groupBy("i", "w").agg(F.count("*").alias("n")))
+    total = {r.i: r.n for r in counts.where("w = ''").collect()}
+    least = F.when(F.lit(False), 0.0)
+    for i, n in total.items():
+        least = least.when(F.col("i") == i, RARE_SHARE * n)
+    out: list[dict[str, int]] = [{} for _ in columns]
+    for r in counts.where("w <> ''").where(F.col("n") > least).collect():
+        out[r.i][r.w] = max(1, round(STEPS * math.log(total[r.i] / r.n)))
+    return out
 
 
 def _weighted(words: list[str], levels: dict[str, int]) -> list[str]:
@@ -116,7 +120,7 @@ def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
     sources = sources.select(F.col("id").alias("_id"), "source", "city", "lang", F.coalesce("mixed", F.lit(False)).alias("mixed"), "zone", F.coalesce("home", "zone").alias("home"))
     values = records.select("ordinal", "source_id", F.col("start_raw").alias("text"), "title", F.col("venue.name").alias("name"), F.col("venue.address").alias("address"))
     values = values.where(F.trim("title") != "").where(F.col("text").isNotNull())
-    titles, names = word_levels(values, "title"), word_levels(values, "name")
+    titles, names = word_levels(values, "title", "name")
     values = values.join(F.broadcast(sources), values["source_id"] == sources["_id"]).drop("_id", "source_id")
     rows = times.instants(values, sources.select("zone").distinct(), source="source", dates=True)
     local = F.from_utc_timestamp(F.timestamp_seconds("utc_second"), F.col("home"))
@@ -195,9 +199,12 @@ def _overlap(a: str, b: str, size_a: str, size_b: str) -> Column:
     def part(own: Column, other: Column) -> Column:
         return F.aggregate(own, F.lit(0.0), lambda acc, x: acc + _weight(x) * F.coalesce(F.array_max(F.transform(other, lambda y: _near(x, y))), F.lit(0.0)))
 
+    least, same = F.least(size_a, size_b), _size(F.array_intersect(a, b))
     lighter = F.when(F.col(size_a) <= F.col(size_b), part(left, right)).otherwise(part(right, left))
     some = (F.col(size_a) > 0) & (F.col(size_b) > 0)
-    return F.when(some & (F.col(a) == F.col(b)), 1.0).when(some, (_size(F.array_intersect(a, b)) + lighter) / F.least(size_a, size_b))
+    # words that weigh less than half a step of the grid need not be compared letter by letter
+    slight = least - same <= least / (2 * GRID)
+    return F.when(some & (F.col(a) == F.col(b)), 1.0).when(some & slight, same / least).when(some, (same + lighter) / least)
 
 
 def _same_spot(a: Column, b: Column) -> Column:
@@ -375,10 +382,10 @@ def scored(pairs: DataFrame) -> DataFrame:
     table = lambda o: F.broadcast(spark.createDataFrame([(int(c), float(o[i])) for c, i in at.items()], "cell int, odds double"))
     known = pairs.select("a", "b", "cell").join(table(odds), "cell")
     tri = stored(triangles(known.withColumn("g", 1 / (1 + F.exp(-F.col("odds"))))))
-    edges = _edges(tri)
     # each edge of triangles shares its weight among them
-    many = edges.groupBy("a", "b").agg(F.count("*").alias("k"))
-    kinds = edges.join(many.hint("shuffle_hash"), ["a", "b"]).groupBy("role", "c3", "c1", "c2").agg(F.sum(1 / F.col("k")).alias("w")).orderBy("role", "c3", "c1", "c2").collect()  # kinds of triangles, by grid points
+    edges = _edges(tri).repartition("a", "b").groupBy("a", "b", "role", "c3", "c1", "c2").agg(F.count("*").alias("n"))
+    edges = stored(edges.withColumn("w", F.col("n") / F.sum("n").over(Window.partitionBy("a", "b"))).drop("n"))
+    kinds = edges.groupBy("role", "c3", "c1", "c2").agg(F.sum("w").alias("w")).orderBy("role", "c3", "c1", "c2").collect()  # kinds of triangles, by grid points
     role, w = np.array([r.role for r in kinds], dtype=int), np.array([r.w for r in kinds], dtype=float)
     c3, c1, c2 = (np.array([at[r[c]] for r in kinds], dtype=int) for c in ("c3", "c1", "c2"))
     own = np.choose(role, [c3, c1, c2]) if len(role) else role
@@ -394,7 +401,7 @@ def scored(pairs: DataFrame) -> DataFrame:
         edges = edges.join(table(odds).withColumnsRenamed({"cell": c, "odds": f"_{c}"}), c)
     of = _project(F.col("_c3"), F.col("_c1"), F.col("_c2"), _Columns)
     edges = edges.withColumn("v", F.when(F.col("role") == 0, of[0]).when(F.col("role") == 1, of[1]).otherwise(of[2]))
-    settled = edges.groupBy("a", "b").agg(F.avg("v").alias("v"))
+    settled = edges.groupBy("a", "b").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
     rows = pairs.select("a", "b", "cell").join(table(odds), "cell").join(settled.hint("shuffle_hash"), ["a", "b"], "left")
     return rows.select("a", "b", F.coalesce("v", 1 / (1 + F.exp(-F.col("odds")))).alias("posterior"))
 
