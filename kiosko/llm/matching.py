@@ -63,7 +63,7 @@ LIVE, SURE = 0.05, 0.99
 STORE = 300_000
 _word = re.compile(r"[a-z0-9]{2,}")
 _suspicious = re.compile(encoding.SUSPICIOUS)
-PROFILE = "words string, lead int, who string, spot string"
+PROFILE = "words string, own int, lead int, who string, spot string"
 
 
 def _plain(text: str | None) -> str:
@@ -78,17 +78,17 @@ def word_levels(values: DataFrame, *columns: str) -> list[dict[str, int]]:
     """For each column the level of rarity of each word that is not of the rarest kind, among the distinct texts of it."""
     marked = "".join(chr(c) for c, p in addresses._plain.items() if len(p) == 1 and 0xC0 <= c)
     plain = F.translate(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), marked, "".join(addresses._plain[ord(c)] for c in marked))
-    words = F.array_distinct(F.regexp_extract_all(plain, F.lit("([a-z0-9]{2,})"), F.lit(1)))
+    words = F.array_distinct(F.split(plain, "[^a-z0-9]+"))
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("text")) for i, c in enumerate(columns)])
     texts = values.select(F.explode(each).alias("x")).where("x.text is not null").select("x.i", "x.text").distinct()
-    # the empty word counts the texts
-    counts = stored(texts.select("i", F.explode(F.concat(F.array(F.lit("")), words)).alias("w")).groupBy("i", "w").agg(F.count("*").alias("n")))
-    total = {r.i: r.n for r in counts.where("w = ''").collect()}
+    # the star counts the texts
+    counts = stored(texts.select("i", F.explode(F.concat(F.array(F.lit("*")), words)).alias("w")).groupBy("i", "w").agg(F.count("*").alias("n")))
+    total = {r.i: r.n for r in counts.where("w = '*'").collect()}
     least = F.when(F.lit(False), 0.0)
     for i, n in total.items():
         least = least.when(F.col("i") == i, RARE_SHARE * n)
     out: list[dict[str, int]] = [{} for _ in columns]
-    for r in counts.where("w <> ''").where(F.col("n") > least).collect():
+    for r in counts.where("length(w) > 1").where(F.col("n") > least).collect():
         out[r.i][r.w] = max(1, round(STEPS * math.log(total[r.i] / r.n)))
     return out
 
@@ -110,7 +110,7 @@ def _leading(words: list[str]) -> int:
 
 
 def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """``ordinal, profile, source, city, lang, mixed, day, minute, words, lead, who, spot`` of each record with a title and a day."""
+    """``ordinal, profile, source, city, lang, mixed, day, minute, words, own, lead, who, spot`` of each record with a title and a day."""
     zone = F.coalesce(F.col("timezone"), F.lit("Europe/Amsterdam"))
     sources = registry.select("id", "city", F.col("locale").alias("lang"), zone.alias("zone"))
     home = sources.where("zone <> 'UTC'").groupBy("city", "zone").agg(F.count("*").alias("n")).groupBy("city").agg(F.max_by("zone", F.struct("n", "zone")).alias("home"))
@@ -152,14 +152,14 @@ def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
                 # words of the record's own venue tell nothing of the show and do not lead
                 house = {w[1:] for w in (venues[n] or "").split()}
                 own = [w for w in words if w[1:] not in house]
-                out.append((" ".join([*own, *(w for w in words if w[1:] in house)]), _leading(own or words), venues[n], spots[a, c] if a is not None else None))
-            yield pd.DataFrame(out, columns=["words", "lead", "who", "spot"])
+                out.append((" ".join([*own, *(w for w in words if w[1:] in house)]), len(own), _leading(own or words), venues[n], spots[a, c] if a is not None else None))
+            yield pd.DataFrame(out, columns=["words", "own", "lead", "who", "spot"])
 
     rows = rows.withColumn("_p", look("title", "name", "address", "city")).select("ordinal", "source", "city", "lang", "mixed", "day", "minute", "_p.*")
     return rows.withColumn("profile", F.xxhash64("source", "day", "minute", "words", "who", "spot"))
 
 
-SIDE = ("words", "who", "spot", "minute", "lang")
+SIDE = ("words", "own", "who", "spot", "minute", "lang")
 
 
 def _keyed(one: DataFrame) -> DataFrame:
@@ -221,8 +221,12 @@ def vectors(pairs: DataFrame) -> DataFrame:
     # each step is a projection of its own, so that no list is made twice
     bare = lambda ws: F.transform(ws, lambda w: F.substring(w, 2, 1 << 20))
     p = pairs.withColumns({"_a": F.split("a_words", " "), "_b": F.split("b_words", " "), "_v": known("a_who"), "_w": known("b_who")})
-    p = p.withColumn("_house", bare(F.concat("_v", "_w")))
-    p = p.withColumns({f"_{s}": F.filter(f"_{s}", lambda w: ~F.array_contains("_house", F.substring(w, 2, 1 << 20))) for s in "ab"})
+    # a title's own house stands behind its other words; only the words of another house need looking for
+    p = p.withColumns({f"_{s}": F.slice(f"_{s}", F.lit(1), F.col(f"{s}_own")) for s in "ab"})
+    without = lambda own, house: F.filter(own, lambda w: ~F.array_contains(house, F.substring(w, 2, 1 << 20)))
+    for s, other in (("a", "_w"), ("b", "_v")):
+        plain = (F.size(other) == 0) | F.col("a_who").eqNullSafe(F.col("b_who"))
+        p = p.withColumn(f"_{s}", F.when(plain, F.col(f"_{s}")).otherwise(without(F.col(f"_{s}"), bare(F.col(other)))))
     kind = lambda c: ~F.exists(c, lambda w: F.ascii(w) - 48 >= KIND_LEVEL)
     p = p.withColumns({f"_n{c}": _size(F.col(f"_{c}")) for c in "abvw"})
     p = p.withColumns({"_title": _overlap("_a", "_b", "_na", "_nb"), "_name": _overlap("_v", "_w", "_nv", "_nw"), "_spot": _same_spot(F.col("a_spot"), F.col("b_spot"))})
