@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kiosko.llm import tokens
-from kiosko.session import checkpointed
+from kiosko.session import stored
 
 BLOCKS = 20_000
 SHARD_TOKENS = 2_000_000
@@ -62,7 +62,7 @@ def sized(documents: DataFrame, targets: DataFrame, file: str | None = None) ->
     return tokens.with_ids(documents.join(F.broadcast(wanted), "source", "left_semi").select("doc_id", "source", "text"), "text", "n_tokens", file, ["doc_id", "source"], count=True).where("n_tokens > 0")
 
 
-def plan(docs: DataFrame, targets: DataFrame, total: float | None = None, blocks: int = BLOCKS) -> tuple[DataFrame, list[tuple]]:
+def plan(docs: DataFrame, targets: DataFrame, total: float | None = None, blocks: int = BLOCKS, shard_tokens: int = SHARD_TOKENS, most_shards: int = MOST_SHARDS) -> tuple[DataFrame, list[tuple]]:
     """(``source, shard, passes, extra``, [(source, tokens, quota)]): the whole passes over each shard and the tokens to take beyond them."""
     spark = docs.sparkSession
     goal = {r.source: r for r in targets.where("target_share > 0 and max_repeats > 0").collect()}  # a row for each source
@@ -73,11 +73,11 @@ def plan(docs: DataFrame, targets: DataFrame, total: float | None = None, blocks
     block = max(size / blocks, 1e-9)
     most = {s: math.floor(caps[s] * sizes[s] / block + 1e-6) for s in sizes}
     quota = sainte_lague(shares, blocks if sizes else 0, most)
-    shards = {s: max(1, min(MOST_SHARDS, math.ceil(n / SHARD_TOKENS))) for s, n in sizes.items()}
+    shards = {s: max(1, min(most_shards, math.ceil(n / shard_tokens))) for s, n in sizes.items()}
     count = spark.createDataFrame([(s, n) for s, n in shards.items()] or [], "source string, shards int")
     parts = docs.join(F.broadcast(count), "source").groupBy("source", shard().alias("shard")).agg(F.sum("n_tokens").alias("n"))
     held: dict[str, dict[int, int]] = {}
-    for r in parts.collect():  # at most MOST_SHARDS rows for each source
+    for r in parts.collect():  # at most most_shards rows for each source
         held.setdefault(r.source, {})[r.shard] = int(r.n)
     rows, report = [], []
     for s, n in sizes.items():
@@ -95,10 +95,16 @@ def shard() -> F.Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.col("shards")).cast("int")
 
 
-def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None, file: str | None = None) -> DataFrame:
-    """``doc_id, source, n_tokens, copies``: the documents of the mixture and how often each is used."""
-    docs = checkpointed(sized(documents, targets, file))
-    plans, _ = plan(docs, targets, total)
+def mixture(documents: DataFrame, targets: DataFrame, total: float | str | None = None, file: str | None = None, **sizes: int) -> DataFrame:
+    """``doc_id, source, n_tokens, copies``: the documents of the mixture and how often each is used.
+
+    ``total`` in tokens; "all" asks for as many as the sources hold together, so that scarce sources meet their cap.
+    ``sizes`` are the parameters of ``plan``.
+    """
+    docs = stored(sized(documents, targets, file))
+    if total == "all":
+        total = float(docs.agg(F.sum("n_tokens")).first()[0] or 0.0)
+    plans, _ = plan(docs, targets, total, **sizes)
     count = plans.select("source", "shards").distinct()
     rows = docs.join(F.broadcast(count), "source").withColumn("shard", shard()).drop("shards")
     rows = rows.join(F.broadcast(plans.drop("shards")), ["source", "shard"])
@@ -114,7 +120,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: float | None = None
     return rows.withColumn("copies", F.col("passes") + more).where("copies > 0").select("doc_id", "source", "n_tokens", "copies")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: float | None = None, file: str | None = None) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total: float | str | None = None, file: str | None = None) -> DataFrame:
     """A row for each target source: its documents, tokens, repeats and the share it reached of the mixture."""
     mixed = mixture(documents, targets, total, file)
     by = mixed.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))

@@ -84,6 +84,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*_t(spark, d, "documents", "mix_targets"))
 
 
+def p9_shares_capped(spark: SparkSession, d: str) -> DataFrame:
+    """As many tokens as the sources hold together: scarce sources are repeated to their cap, the others share the rest."""
+    return mixing.shares(*_t(spark, d, "documents", "mix_targets"), total="all")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(*_t(spark, d, "documents", "reading_labels")).where(F.col("level") >= reading.HARD).select("doc_id")
 
@@ -93,7 +98,7 @@ def p10_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_ = (p1_found, p1_restored, p2_found, p2_clean, p3_found, p3_rates, p4_found, p4_matches, p4_classes, p5_found, p5_supported, p7_found, p7_locations, p8_ids, p9_mixture, p9_shares, p10_found, p10_levels)
+    all_ = (p1_found, p1_restored, p2_found, p2_clean, p3_found, p3_rates, p4_found, p4_matches, p4_classes, p5_found, p5_supported, p7_found, p7_locations, p8_ids, p9_mixture, p9_shares, p9_shares_capped, p10_found, p10_levels)
     return {f.__name__: f for f in all_}
 
 

@@ -88,3 +88,14 @@ def test_held_out_accuracy(spark):
 def test_no_labels_no_documents(spark):
     documents, labels = corpus(spark, 20)
     assert reading.levels(documents, labels.limit(0)).count() == 0 and reading.levels(documents.limit(0), labels).count() == 0
+
+
+def test_a_scarce_source_meets_its_cap_and_the_rest_is_shared_out(spark):
+    docs = [(i, "a", "woord " * 50) for i in range(4)] + [(100 + i, "b", "ander woord " * 50) for i in range(40)] + [(200 + i, "c", "nog een woord " * 50) for i in range(40)]
+    docs = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.25, 3), ("c", 0.25, 3)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.shares(docs, targets, total="all").collect()}
+    assert got["a"].most_copies == 2 and got["a"].n_docs == 4 and got["a"].actual_share < 0.5
+    assert abs(got["b"].actual_share - got["c"].actual_share) < 0.02 and max(got["b"].most_copies, got["c"].most_copies) <= 3
+    few = mixing.mixture(docs, targets, shard_tokens=200, most_shards=3)
+    assert few.count() > 0 and few.where("copies > 3").count() == 0
