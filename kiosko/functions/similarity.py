@@ -71,10 +71,12 @@ def title_similarity(a: Column, b: Column) -> Column:
     return F.when((a == "") | (b == ""), 0.0).when(inside, 1.0).otherwise(token_set(F.when(hard, a), F.when(hard, b)) / 100)
 
 
-def time_similarity(a: Column, b: Column, tolerance: int = 90) -> Column:
-    """Of two local times: linear decay; midnight means an unknown time and is neutral on the same day."""
+def time_similarity(a: Column, b: Column, tolerance: int = 90, instants: tuple[Column, Column] | None = None) -> Column:
+    """Of two local times: linear decay; midnight means an unknown time and is neutral on the same day. Where the clocks
+    may be of different zones, the distance is that of the instants."""
     unknown = lambda t: F.date_format(t, "HHmmss") == "000000"
-    minutes = F.abs(F.unix_timestamp(a.cast("timestamp")) - F.unix_timestamp(b.cast("timestamp"))) / 60
+    first, second = instants or (a.cast("timestamp"), b.cast("timestamp"))
+    minutes = F.abs(F.unix_timestamp(first) - F.unix_timestamp(second)) / 60
     return (
         F.when(unknown(a) != unknown(b), F.when(F.to_date(a) == F.to_date(b), 0.5).otherwise(0.0))
         .when(minutes > tolerance, 0.0)

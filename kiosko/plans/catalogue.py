@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kiosko.functions import keys, rules, similarity, text
+from kiosko.plans.instants import utc_sql
 from kiosko.operators import audit, geography, graph, measures, reading, recurrence, resolve, state, times
 from kiosko.session import checkpointed, table
 from kiosko.sources import payloads, probe
@@ -45,13 +46,12 @@ def runs_of(spark: SparkSession, d: str) -> DataFrame:
 RUNS = "runs AS (SELECT event_id AS id, user_id::VARCHAR AS source_id, floor(value)::INT AS records, event_type <> 'error' AS ok, ts AS ran_at FROM events)"
 
 
-@query()
-def flagship_entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    got = resolve.deduplicate(table(spark, d, "raw_records"), table(spark, d, "registry"))
-    return got.select("id", "title", "city", F.unix_seconds("start").alias("start_second"), F.col("venue.name").alias("venue"), "description", "url", "is_free", "price", "n_members", "n_sources", "confidence")
+STATED = """w AS (SELECT 'raw_records' AS origin, ordinal AS row_id, 'start' AS field, source_id AS src, start_raw AS text, timezone FROM raw_records LEFT JOIN registry g ON g.id = source_id UNION ALL SELECT 'raw_records', ordinal, 'end', source_id, end_raw, timezone FROM raw_records LEFT JOIN registry g ON g.id = source_id
+UNION ALL SELECT 'madrid_ayuntamiento_api', row_id, 'dtstart', '*madrid', dtstart, 'Europe/Madrid' FROM madrid_ayuntamiento_api UNION ALL SELECT 'madrid_ayuntamiento_api', row_id, 'dtend', '*madrid', dtend, 'Europe/Madrid' FROM madrid_ayuntamiento_api),
+x AS (SELECT * EXCLUDE (timezone), coalesce(timezone, 'Europe/Amsterdam') AS zone FROM w WHERE text IS NOT NULL)"""
 
 
-@query()
+@query(f"WITH {STATED}, {utc_sql('x')} SELECT origin, row_id, field, utc_second FROM tm WHERE utc_second IS NOT NULL")
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return times.stated_times(*[table(spark, d, n) for n in ("raw_records", "madrid_ayuntamiento_api", "registry")])
 
@@ -159,17 +159,15 @@ def run_log_latest_and_history(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_attempt", "last_success")})
 
 
-STOP_NL = ", ".join(f"'{w}'" for w in rules.STOPWORDS["nl"])
-
-
-def norm_sql(c: str) -> str:
-    """The comparison key of a title in SQL. Letters that compatibility forms spell out are put first, as DuckDB only
+def norm_sql(c: str, locale: str = "nl") -> str:
+    """The comparison key of a title in SQL, without the stop words of a locale. Letters that compatibility forms spell out are put first, as DuckDB only
     takes marks off."""
     plain = f"translate(lower({c}), 'ª²³¹ºµ¨¯´¸\u00a0', 'a231oμ     ')"
+    stop = ", ".join(f"'{w}'" for w in rules.STOPWORDS[locale])
     for a, b in (("¼", "1 4"), ("½", "1 2"), ("¾", "3 4"), ("™", "tm"), ("…", " ")):
         plain = f"replace({plain}, '{a}', '{b}')"
     words = f"regexp_replace(regexp_replace(strip_accents({plain}), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')"
-    return f"array_to_string(list_filter(string_split({words}, ' '), lambda w: w <> '' AND w NOT IN ({STOP_NL})), ' ')"
+    return f"array_to_string(list_filter(string_split({words}, ' '), lambda w: w <> '' AND w NOT IN ({stop})), ' ')"
 
 
 @query(f"SELECT ordinal, {norm_sql('title')} AS norm FROM raw_records")
@@ -337,7 +335,15 @@ def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
     return v.select("id", geography.in_box(F.col("lat"), F.col("lon"), F.col("city")).alias("inside"))
 
 
-@query()
+_CLEAN = "trim(name, ' ')"
+for _ in range(3):  # endings stack
+    _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '{geography.NOISE.removeprefix('(?i)')}', '', 'i'), '\\s*[|\\-–—,(]\\s*(?:in\\s+)?' || regexp_escape(town) || '\\s*\\)?\\s*$', '', 'i')"
+    _CLEAN = f"regexp_replace({_CLEAN}, '^[ \\-|–—·:,]+|[ \\-|–—·:,]+$', '', 'g')"
+
+
+@query(f"""WITH v AS (SELECT id, name, nullif(trim(address, ' '), '') AS street, trim(city, ' ') AS town FROM venues WHERE city IS NOT NULL), c AS (SELECT *, coalesce(nullif({_CLEAN}, ''), trim(name, ' ')) AS n FROM v),
+o AS (SELECT *, CASE WHEN n <> '' AND NOT regexp_matches(trim(n, ' '), '{geography.GENERIC.removeprefix("(?i)")}', 'i') THEN n END AS own FROM c)
+SELECT id, unnest(list_distinct(list_filter([own || ', ' || street || ', ' || town, own || ', ' || town, street || ', ' || town], lambda q: q IS NOT NULL))) AS query FROM o""")
 def query_ladder(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "venues").where("city is not null")
     return v.select("id", F.explode(geography.ladder(geography.clean_name(F.col("name"), F.trim("city")), F.col("address"), F.trim("city"))).alias("query"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kiosko.functions import rules, text
 from kiosko.operators import audit, graph, measures, resolve
 from kiosko.plans.catalogue import NOW, category_sql, norm_sql, query
+from kiosko.plans.instants import utc_sql
 from kiosko.session import checkpointed, table
 from kiosko.sources import registry
 
@@ -26,22 +27,60 @@ def token_set_sql(of: str, name: str = "l") -> str:
 ELSE greatest(best, 1 - (gap + length(x)) / (ls + ls + gap + length(x))::DOUBLE, 1 - (gap + length(y)) / (ls + ls + gap + length(y))::DOUBLE) END AS sim FROM {name}6)"""
 
 
-#: raw_records as claims, with the time of fetching as the clock, so that SQL can read it.
-CLAIMS = f"""r AS (SELECT ordinal, source_id, x.source_type, x.trust, title, g.city, floor(epoch(fetched_at))::BIGINT AS s, venue, {norm_sql("title")} AS norm, x.url, is_free, price, rrule, end_raw, description FROM raw_records x JOIN registry g ON x.source_id = g.id WHERE trim(title, ' ') <> '' AND fetched_at IS NOT NULL)"""
-DAY = "strftime(to_timestamp(s) AT TIME ZONE 'UTC', '%Y-%m-%d')"
 CLOCK = lambda c: f"({c} % 86400 = 0)"
-PAIRS = f"""{CLAIMS}, t AS (SELECT *, replace(norm, ' ', '') AS flat FROM r),
+GEO = "sqrt(pow((x.venue.lat - y.venue.lat) * 111000, 2) + pow((x.venue.lon - y.venue.lon) * 74000, 2))"
+#: raw_records as claims, with the time of fetching as the clock, so that SQL of resolution stands without that of times.
+CLAIMS = f"""r AS (SELECT ordinal, source_id, x.source_type, x.trust, title, g.city, floor(epoch(fetched_at))::BIGINT AS s, floor(epoch(fetched_at))::BIGINT AS l, venue, {norm_sql("title")} AS norm, x.url, is_free, price, rrule, end_raw, description FROM raw_records x JOIN registry g ON x.source_id = g.id WHERE trim(title, ' ') <> '' AND fetched_at IS NOT NULL)"""
+_LANG = f"CASE locale WHEN 'nl' THEN {norm_sql('title')} WHEN 'es' THEN {norm_sql('title', 'es')} ELSE {norm_sql('title', 'en')} END"
+_EAST = "(epoch(timezone(zone, to_timestamp(utc_second)))::BIGINT - utc_second) // 60"
+#: The same with the starts that the records state.
+STATED = f"""f AS (SELECT x.* EXCLUDE (trust), coalesce(x.trust, g.trust, 99) AS trust, g.city AS town, g.locale, coalesce(g.timezone, 'Europe/Amsterdam') AS zone, source_id AS src, start_raw AS text FROM raw_records x JOIN registry g ON x.source_id = g.id), {utc_sql("f")},
+r AS (SELECT ordinal, source_id, source_type, trust, title, town AS city, utc_second AS s, utc_second + 60 * ({_EAST}) AS l, venue, {_LANG} AS norm, url, is_free, price, rrule, end_raw, description, format('{{}}{{:02d}}:{{:02d}}', CASE WHEN {_EAST} < 0 THEN '-' ELSE '+' END, abs({_EAST}) // 60, abs({_EAST}) % 60) AS east FROM tm WHERE utc_second IS NOT NULL AND trim(title, ' ') <> '')"""
+DAY = "strftime(to_timestamp(l) AT TIME ZONE 'UTC', '%Y-%m-%d')"
+
+
+def pairs_sql(claims: str) -> str:
+    """CTEs that end in ``c``: the candidate pairs of claims ``r`` (``s`` the instant, ``l`` the local clock, in seconds)."""
+    return f"""{claims}, t AS (SELECT *, replace(norm, ' ', '') AS flat FROM r),
 k AS (SELECT ordinal, source_id, city, unnest(list_concat(list_concat(CASE WHEN venue IS NULL THEN [] ELSE ['dayloc:' || {DAY} || ':' || CASE WHEN venue.lat IS NULL OR venue.lon IS NULL THEN 'nogeo' ELSE format('{{:.3f}},{{:.3f}}', round_even(venue.lat, 3), round_even(venue.lon, 3)) END] END,
   CASE WHEN length(flat) = 0 THEN [] WHEN length(flat) < 3 THEN ['daytri:' || {DAY} || ':' || flat] ELSE list_transform(list_distinct(list_transform(range(1, length(flat) - 1), lambda i: substr(flat, i, 3))), lambda g: 'daytri:' || {DAY} || ':' || g) END), CASE WHEN norm = '' THEN [] ELSE ['title:' || norm] END)) AS k FROM t),
 fit AS (SELECT city, k FROM k GROUP BY ALL HAVING count(*) BETWEEN 2 AND 60),
 c AS (SELECT DISTINCT x.ordinal AS a, y.ordinal AS b FROM k x JOIN fit USING (city, k) JOIN k y USING (city, k) WHERE x.ordinal < y.ordinal AND x.source_id <> y.source_id)"""
-GEO = "sqrt(pow((x.venue.lat - y.venue.lat) * 111000, 2) + pow((x.venue.lon - y.venue.lon) * 74000, 2))"
-SCORES = f"""{PAIRS},
-p AS (SELECT a, b, x.norm AS ta, y.norm AS tb, CASE WHEN {CLOCK("x.s")} <> {CLOCK("y.s")} THEN CASE WHEN x.s // 86400 = y.s // 86400 THEN 0.5 ELSE 0.0 END WHEN abs(x.s - y.s) > 5400 THEN 0.0 ELSE 1 - abs(x.s - y.s) / 5400.0 END AS ti,
+
+
+def scores_sql(claims: str) -> str:
+    """CTEs that end in ``sc``: ``a, b, exact`` (to nine digits) and ``score`` of the candidate pairs."""
+    return f"""{pairs_sql(claims)},
+p AS (SELECT a, b, x.norm AS ta, y.norm AS tb, CASE WHEN {CLOCK("x.l")} <> {CLOCK("y.l")} THEN CASE WHEN x.l // 86400 = y.l // 86400 THEN 0.5 ELSE 0.0 END WHEN abs(x.s - y.s) > 5400 THEN 0.0 ELSE 1 - abs(x.s - y.s) / 5400.0 END AS ti,
   CASE WHEN x.venue IS NULL OR y.venue IS NULL THEN 0.5 WHEN {GEO} IS NOT NULL THEN CASE WHEN {GEO} < 100 THEN 1.0 WHEN {GEO} > 2000 THEN 0.0 ELSE 1 - ({GEO} - 100) / 1900 END WHEN x.venue.name <> '' AND y.venue.name <> '' THEN NULL ELSE 0.5 END AS ve,
   lower(x.venue.name) AS va, lower(y.venue.name) AS vb FROM c JOIN r x ON x.ordinal = a JOIN r y ON y.ordinal = b WHERE abs(x.s - y.s) <= 86400),
 {token_set_sql("p")}, l_ AS (SELECT a, b, ti, ve, sim AS st, va AS ta, vb AS tb FROM l), {token_set_sql("l_", "v")},
-sc AS (SELECT a, b, round(round(0.45 * st + 0.35 * ti + 0.20 * coalesce(ve, sim), 9) + 3.7e-10, 6)::DOUBLE AS score FROM v)"""
+sc AS (SELECT a, b, round(0.45 * st + 0.35 * ti + 0.20 * coalesce(ve, sim), 9)::DOUBLE AS exact, round(round(0.45 * st + 0.35 * ti + 0.20 * coalesce(ve, sim), 9) + 3.7e-10, 6)::DOUBLE AS score FROM v)"""
+
+
+PAIRS, SCORES = pairs_sql(CLAIMS), scores_sql(CLAIMS)
+_RANK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.TIER_EVIDENCE.items())
+ORDER = f"coalesce(trust, 99), CASE source_type {_RANK} ELSE 0.5 END DESC, source_id, ordinal"
+
+
+def merged_sql(clustered: str, extra: str = "") -> str:
+    """CTEs over ``clustered`` (claims with ``cluster``) that end in ``ev``: one event for each cluster."""
+    return f"""n AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {ORDER}) AS pos FROM {clustered}),
+g AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY length(description) DESC, pos) AS long FROM n WHERE description <> ''),
+m AS (SELECT cluster, min(title) FILTER (pos = 1) AS title, min(city) FILTER (pos = 1) AS city, min(s) FILTER (pos = 1) AS start_second, arg_min(url, pos) FILTER (url <> '') AS url, arg_min(price, pos) FILTER (price <> '') AS price, arg_min(rrule, pos) FILTER (rrule <> '') AS rrule, arg_min(is_free, pos) FILTER (is_free IS NOT NULL) AS is_free, {extra}
+  count(*) AS n_members, count(DISTINCT source_id) AS n_sources, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS source_ids, string_agg(lower(title || ' ' || coalesce(description, '')), chr(10)) AS blob FROM n GROUP BY 1),
+h AS (SELECT cluster, venue.name AS venue FROM n WHERE venue IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY venue.lat IS NULL, pos) = 1),
+{category_sql("SELECT m.cluster AS id, blob AS b, lower(coalesce(h.venue, '')) AS v FROM m LEFT JOIN h USING (cluster)")},
+ev AS (SELECT m.*, h.venue, cat.category_found AS category, g.description, least(1.0, round(0.6 + 0.2 * n_sources, 6))::DOUBLE AS confidence FROM m LEFT JOIN h USING (cluster) LEFT JOIN cat ON cat.id = m.cluster LEFT JOIN g ON g.cluster = m.cluster AND g.long = 1)"""
+
+
+@query(f"""WITH RECURSIVE {scores_sql(STATED)}, e AS (SELECT a AS n, b AS m FROM sc WHERE exact >= 0.72 UNION SELECT b, a FROM sc WHERE exact >= 0.72),
+w AS (SELECT ordinal AS n, ordinal AS root FROM r UNION SELECT e.m, w.root FROM w JOIN e USING (n)), u AS (SELECT n AS ordinal, min(root) AS cluster FROM w GROUP BY 1), o AS (SELECT * FROM r JOIN u USING (ordinal)),
+{merged_sql("o", "min(strftime(to_timestamp(l) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || east) FILTER (pos = 1) AS start_iso,")}
+SELECT substr(sha1({norm_sql("title")} || '|' || start_iso || '|' || city), 1, 16) AS id, title, city, start_second, venue, category, description, url, is_free, price, n_members, n_sources, source_ids, confidence FROM ev""")
+def flagship_entity_resolution(spark: SparkSession, d: str) -> DataFrame:
+    got = resolve.deduplicate(table(spark, d, "raw_records"), table(spark, d, "registry"))
+    return got.select("id", "title", "city", F.unix_seconds("start").alias("start_second"), F.col("venue.name").alias("venue"), "category", "description", "url", "is_free", "price", "n_members", "n_sources", F.array_join("source_ids", ",").alias("source_ids"), "confidence")
 
 
 def _claims(spark: SparkSession, d: str) -> DataFrame:
@@ -57,7 +96,7 @@ def block_candidates(spark: SparkSession, d: str) -> DataFrame:
     return resolve.candidates(_claims(spark, d))
 
 
-@query()
+@query(f"WITH {PAIRS} SELECT ordinal, count(*) AS n FROM (SELECT DISTINCT x.ordinal, y.ordinal AS other FROM k x JOIN k y USING (city, k) WHERE x.ordinal < y.ordinal AND x.source_id <> y.source_id) GROUP BY 1")
 def block_candidates_uncapped(spark: SparkSession, d: str) -> DataFrame:
     """Every block, whatever its size: as many pairs from each record as it has neighbours, so counted, not listed."""
     pairs = resolve.candidates(_claims(spark, d), cap=None)
@@ -93,8 +132,6 @@ def threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return measures.sweep(scored, nodes, THRESHOLDS)
 
 
-_RANK = " ".join(f"WHEN '{k}' THEN {v}" for k, v in rules.TIER_EVIDENCE.items())
-ORDER = f"coalesce(trust, 99), CASE source_type {_RANK} ELSE 0.5 END DESC, source_id, ordinal"
 GROUPED = f"{CLAIMS}, o AS (SELECT *, min(ordinal) OVER (PARTITION BY city, norm) AS cluster FROM r)"
 
 
@@ -105,14 +142,7 @@ def _grouped(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return rows, rows.join(first, ["city", "norm"]).select("ordinal", "cluster")
 
 
-@query(f"""WITH {GROUPED}, n AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY {ORDER}) AS pos FROM o),
-l AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY length(description) DESC, pos) AS long FROM n WHERE description <> ''),
-m AS (SELECT cluster, min(title) FILTER (pos = 1) AS title, min(city) AS city, min(s) FILTER (pos = 1) AS start_second, arg_min(url, pos) FILTER (url <> '') AS url, arg_min(price, pos) FILTER (price <> '') AS price, arg_min(rrule, pos) FILTER (rrule <> '') AS rrule, arg_min(is_free, pos) FILTER (is_free IS NOT NULL) AS is_free,
-  count(*) AS n_members, count(DISTINCT source_id) AS n_sources, array_to_string(list_sort(list(DISTINCT source_id)), ',') AS source_ids, string_agg(lower(title || ' ' || coalesce(description, '')), chr(10)) AS blob FROM n GROUP BY 1),
-h AS (SELECT cluster, venue.name AS venue FROM n WHERE venue IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY venue.lat IS NULL, pos) = 1),
-{category_sql("SELECT m.cluster AS id, blob AS b, lower(coalesce(h.venue, '')) AS v FROM m LEFT JOIN h USING (cluster)")}
-SELECT m.cluster, m.title, m.city, start_second, m.url, m.price, m.rrule, m.is_free, h.venue, n_members, n_sources, m.source_ids, cat.category_found AS category, l.description, least(1.0, round(0.6 + 0.2 * n_sources, 6))::DOUBLE AS confidence
-FROM m LEFT JOIN h USING (cluster) LEFT JOIN cat ON cat.id = m.cluster LEFT JOIN l ON l.cluster = m.cluster AND l.long = 1""")
+@query(f"""WITH {GROUPED}, {merged_sql("o")} SELECT cluster, title, city, start_second, url, price, rrule, is_free, venue, n_members, n_sources, source_ids, category, description, confidence FROM ev""")
 def merge_precedence(spark: SparkSession, d: str) -> DataFrame:
     got = resolve.merge(*_grouped(spark, d))
     return got.select("cluster", "title", "city", F.unix_seconds("start").alias("start_second"), "url", "price", "rrule", "is_free", F.col("venue.name").alias("venue"), "n_members", "n_sources", F.array_join("source_ids", ",").alias("source_ids"), "category", "description", "confidence")

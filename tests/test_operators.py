@@ -187,6 +187,15 @@ def test_unknown_trust_comes_last_and_events_carry_their_sources(spark):
     assert [(r.position, r.source_id) for r in m] == [(1, "gem"), (2, "zaal"), (3, "krant")]
 
 
+def test_distance_in_time_is_that_of_instants(spark):
+    df, reg = raw(spark)
+    reg = reg.withColumn("timezone", F.when(F.col("id") == "zaal", "America/Curacao"))
+    rows = df.where("ordinal in (1, 3)").withColumn("start_raw", F.when(F.col("ordinal") == 3, "2026-09-04 14:30").otherwise(F.col("start_raw")))
+    assert [r.n_members for r in resolve.deduplicate(rows, reg).collect()] == [2]  # 20:00 in Amsterdam, 20:30 there
+    late = rows.withColumn("start_raw", F.when(F.col("ordinal") == 3, "2026-09-04 20:00").otherwise(F.col("start_raw")))
+    assert [r.n_members for r in resolve.deduplicate(late, reg).collect()] == [1, 1]  # one clock, six hours apart
+
+
 def test_origins_and_history(spark):
     rows = [("e", "title", "a", 2, "rss", "De Jazz!"), ("e", "title", "b", None, "ics", "Poppen"), ("e", "title", "c", 2, "ics", "jazz"), ("e", "start", "a", 1, "rss", "2026-09-01T20:10:00+02:00"), ("e", "start", "b", 3, "rss", "2026-09-01T18:50:00Z"), ("e", "start", "c", 3, "rss", "2026-09-01T21:00:00+02:00"), ("e", "url", "a", 1, "rss", "")]
     df = spark.createDataFrame(rows, "event_id string, field string, source_id string, trust int, tier string, claim string")
