@@ -258,7 +258,14 @@ def sniff_kind(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tudelft_events").select("page_id", payloads.sniff(F.col("html"), F.lit(None).cast("string")).alias("kind"))
 
 
-@query()
+_PLACE = "(CASE WHEN json_type(v->'location') = 'ARRAY' THEN v->'location'->0 ELSE v->'location' END)"
+_WHERE = f"(CASE WHEN json_type({_PLACE}->'address') = 'ARRAY' THEN {_PLACE}->'address'->0 ELSE {_PLACE}->'address' END)"
+
+
+@query(f"""WITH b AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script\\b[^>]*ld\\+json[^>]*>(.*?)</script\\s*>', 1)) AS s FROM tudelft_events), n AS (SELECT page_id, t.value AS v FROM b, json_tree(CASE WHEN json_valid(s) THEN s::JSON ELSE '{{}}'::JSON END) t WHERE t.type = 'OBJECT' AND contains(coalesce((t.value->'@type')::VARCHAR, ''), 'Event')),
+e AS (SELECT page_id, v->>'name' AS title, coalesce(v->>'startDate', v->>'startdate') AS start_text, CASE json_type({_PLACE}) WHEN 'VARCHAR' THEN {_PLACE}->>'$' WHEN 'OBJECT' THEN coalesce({_PLACE}->>'name', 'Unknown venue') END AS venue_name,
+CASE WHEN json_type({_PLACE}) = 'OBJECT' THEN CASE json_type({_WHERE}) WHEN 'OBJECT' THEN nullif(concat_ws(' ', {_WHERE}->>'streetAddress', {_WHERE}->>'postalCode'), '') WHEN 'VARCHAR' THEN {_WHERE}->>'$' END END AS venue_address, CASE WHEN json_type({_WHERE}) = 'OBJECT' THEN {_WHERE}->>'addressLocality' END AS venue_city, v->>'description' AS description FROM n)
+SELECT title, start_text, venue_name, venue_address, venue_city, description FROM e WHERE title <> '' AND start_text <> ''""")
 def jsonld_extract(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "tudelft_events").select(F.lit("tudelft_events").alias("source_id"), F.col("html").alias("body"), "page_id")
     return payloads.extract(pages, table(spark, d, "registry")).select("title", "start_text", "venue_name", "venue_address", "venue_city", "description")
@@ -337,12 +344,12 @@ def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
 
 _CLEAN = "trim(name, ' ')"
 for _ in range(3):  # endings stack
-    _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '{geography.NOISE.removeprefix('(?i)')}', '', 'i'), '\\s*[|\\-–—,(]\\s*(?:in\\s+)?' || regexp_escape(town) || '\\s*\\)?\\s*$', '', 'i')"
+    _CLEAN = f"regexp_replace(regexp_replace({_CLEAN}, '{geography.NOISE.removeprefix('(?iu)')}', '', 'i'), '\\s*[|\\-–—,(]\\s*(?:in\\s+)?' || regexp_escape(town) || '\\s*\\)?\\s*$', '', 'i')"
     _CLEAN = f"regexp_replace({_CLEAN}, '^[ \\-|–—·:,]+|[ \\-|–—·:,]+$', '', 'g')"
 
 
 @query(f"""WITH v AS (SELECT id, name, nullif(trim(address, ' '), '') AS street, trim(city, ' ') AS town FROM venues WHERE city IS NOT NULL), c AS (SELECT *, coalesce(nullif({_CLEAN}, ''), trim(name, ' ')) AS n FROM v),
-o AS (SELECT *, CASE WHEN n <> '' AND NOT regexp_matches(trim(n, ' '), '{geography.GENERIC.removeprefix("(?i)")}', 'i') THEN n END AS own FROM c)
+o AS (SELECT *, CASE WHEN n <> '' AND NOT regexp_matches(trim(n, ' '), '{geography.GENERIC.removeprefix("(?iu)")}', 'i') THEN n END AS own FROM c)
 SELECT id, unnest(list_distinct(list_filter([own || ', ' || street || ', ' || town, own || ', ' || town, street || ', ' || town], lambda q: q IS NOT NULL))) AS query FROM o""")
 def query_ladder(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "venues").where("city is not null")
