@@ -95,9 +95,9 @@ TERMS = [(name, weight, term) for name, tiers in rules.CATEGORIES.items() for we
 _BITS = 60
 
 
-def term_masks(blob: Column) -> list[Column]:
-    """Which terms a text holds, as bits of a few integers; those of several texts are united by ``bit_or``."""
-    low = F.lower(F.coalesce(blob, F.lit("")))
+def term_masks(low: Column) -> list[Column]:
+    """Which terms a text (a column in lower case, not null) holds, as bits of a few integers; those of several texts are
+    united by ``bit_or``."""
     parts = [TERMS[i : i + _BITS] for i in range(0, len(TERMS), _BITS)]
     return [reduce(lambda a, b: a + b, [F.when(low.contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, (_, _, t) in enumerate(part)]) for part in parts]
 
