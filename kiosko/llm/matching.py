@@ -15,7 +15,10 @@ Each pair that met gets a vector of continuous similarities (title, place, time)
 is missing from it. A mixture of Gaussians (one of matched pairs; one of unmatched pairs for each similarity, as
 another title, another place and another time of the day are apart) is fitted without labels by
 expectation-maximisation: missing parts are integrated out, covariances are regularised by the distance of the
-means of matched and unmatched, and each expectation step is followed by a projection onto transitivity. For triangles a-m-b the posterior of
+means of matched and unmatched, and each expectation step is followed by a projection onto transitivity. The Gaussians
+are common to all pairs, their weights are not: pairs whose titles share a rare word, a common word or none have weights
+of their own, as pairs by a common word grow with the square of a day's listings and those by a name do not, and would
+otherwise leave a name without a known place no chance in a large table. For triangles a-m-b the posterior of
 one edge must not be below the product of the other two; where it is, either that edge rises or the weaker of the
 other two falls, whichever the sum of the three log-odds asks for, and a pair takes the mean over its triangles.
 Vectors lie on a grid, so the fit runs on the driver over counts of grid points and of kinds of triangles, whose
@@ -44,11 +47,14 @@ from kiosko.session import stored
 
 GRID = 20
 FEATURES = ("title", "place", "time")
+RARITY = "rare"
 #: Words of at most this share of the distinct titles (or venue names) are of the rarest kind; all weigh alike. There
 #: are fewer words above it than words in a title divided by the share, so their list has a bound.
 RARE_SHARE = 0.0002
 STEPS = 5  # of a word's level for each unit of log rarity
 TOP = round(STEPS * math.log(1 / RARE_SHARE))
+#: Before each word stand the signs of its levels, that among distinct texts and that among all values.
+SIGNS = 2
 #: A title all of whose words are of more than this share of titles names a kind of event only.
 KIND_LEVEL = round(STEPS * math.log(1 / 0.0025))
 #: A word weighs its level to this power: a phrase of ten common words, all one fact, is not to outweigh a name.
@@ -58,6 +64,8 @@ REST = 0.25
 #: Minutes at which two clock times are as near as they are far; the same for two words, as a share of
 #: their length, and as a number that long words do not pass.
 HALF_MINUTES, FAR_WORDS, MOST_EDITS = 200.0, 0.4, 5
+#: Pairs known to lie at the corner of each Gaussian, as a share of the matched pairs.
+KNOWN = 0.03
 #: Edges of less than LIVE make no triangle; third edges of more than SURE break none by more than 1 - SURE.
 LIVE, SURE = 0.05, 0.99
 STORE = 300_000
@@ -74,29 +82,30 @@ def _plain(text: str | None) -> str:
     return addresses.fold(text)
 
 
-def word_levels(values: DataFrame, *columns: str) -> list[dict[str, int]]:
-    """For each column the level of rarity of each word that is not of the rarest kind, among the distinct texts of it."""
+def word_levels(values: DataFrame, *columns: str) -> list[dict[str, str]]:
+    """For each column the signs of the levels of rarity of each word that is not of the rarest kind: among the distinct
+    texts of the column, and among all its values, where a phrase of one wording is as common as it is used."""
     marked = "".join(chr(c) for c, p in addresses._plain.items() if len(p) == 1 and 0xC0 <= c)
     plain = F.translate(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), marked, "".join(addresses._plain[ord(c)] for c in marked))
     words = F.array_distinct(F.split(plain, "[^a-z0-9]+"))
     each = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("text")) for i, c in enumerate(columns)])
-    texts = values.select(F.explode(each).alias("x")).where("x.text is not null").select("x.i", "x.text").distinct()
+    texts = values.select(F.explode(each).alias("x")).where("x.text is not null").groupBy("x.i", "x.text").agg(F.count("*").alias("m"))
     # the star counts the texts
-    counts = stored(texts.select("i", F.explode(F.concat(F.array(F.lit("*")), words)).alias("w")).groupBy("i", "w").agg(F.count("*").alias("n")))
-    total = {r.i: r.n for r in counts.where("w = '*'").collect()}
-    least = F.when(F.lit(False), 0.0)
-    for i, n in total.items():
-        least = least.when(F.col("i") == i, RARE_SHARE * n)
-    out: list[dict[str, int]] = [{} for _ in columns]
-    for r in counts.where("length(w) > 1").where(F.col("n") > least).collect():
-        out[r.i][r.w] = max(1, round(STEPS * math.log(total[r.i] / r.n)))
+    counts = stored(texts.select("i", "m", F.explode(F.concat(F.array(F.lit("*")), words)).alias("w")).groupBy("i", "w").agg(F.count("*").alias("n"), F.sum("m").alias("m")))
+    total = {r.i: (r.n, r.m) for r in counts.where("w = '*'").collect()}
+    common = F.lit(False)
+    for i, (n, m) in total.items():
+        common |= (F.col("i") == i) & ((F.col("n") > RARE_SHARE * n) | (F.col("m") > RARE_SHARE * m))
+    level = lambda n, of: max(1, round(STEPS * math.log(of / n))) if n > RARE_SHARE * of else TOP
+    out: list[dict[str, str]] = [{} for _ in columns]
+    for r in counts.where("length(w) > 1").where(common).collect():
+        out[r.i][r.w] = "".join(chr(48 + level(x, of)) for x, of in zip((r.n, r.m), total[r.i]))
     return out
 
 
-def _weighted(words: list[str], levels: dict[str, int]) -> list[str]:
-    """Each word once, with a sign of its level before it; the rarest first, else in order."""
-    got = [(levels.get(w, TOP), w) for w in dict.fromkeys(words)]
-    return [chr(48 + n) + w for n, w in sorted(got, key=lambda x: -x[0])]
+def _weighted(words: list[str], levels: dict[str, str]) -> list[str]:
+    """Each word once, with the signs of its levels before it; the rarest among texts first, else in order."""
+    return sorted((levels.get(w, 2 * chr(48 + TOP)) + w for w in dict.fromkeys(words)), key=lambda x: -ord(x[0]))
 
 
 def _leading(words: list[str]) -> int:
@@ -150,9 +159,9 @@ def profiles(records: DataFrame, registry: DataFrame) -> DataFrame:
                     spots[a, c] = f"{p[4]}|{p[3] or ''}|{p[1] or ''}" if p[4] and (p[3] or p[1]) else None
                 words = _weighted(_word.findall(t := _plain(t)) or [t.strip().replace(" ", "")], titles)
                 # words of the record's own venue tell nothing of the show and do not lead
-                house = {w[1:] for w in (venues[n] or "").split()}
-                own = [w for w in words if w[1:] not in house]
-                out.append((" ".join([*own, *(w for w in words if w[1:] in house)]), len(own), _leading(own or words), venues[n], spots[a, c] if a is not None else None))
+                house = {w[SIGNS:] for w in (venues[n] or "").split()}
+                own = [w for w in words if w[SIGNS:] not in house]
+                out.append((" ".join([*own, *(w for w in words if w[SIGNS:] in house)]), len(own), _leading(own or words), venues[n], spots[a, c] if a is not None else None))
             yield pd.DataFrame(out, columns=["words", "own", "lead", "who", "spot"])
 
     rows = rows.withColumn("_p", look("title", "name", "address", "city")).select("ordinal", "source", "city", "lang", "mixed", "day", "minute", "_p.*")
@@ -165,7 +174,7 @@ SIDE = ("words", "own", "who", "spot", "minute", "lang")
 def _keyed(one: DataFrame) -> DataFrame:
     """``profile, source, key``: the hashed keys under which a profile meets others of its city and day."""
     rows = one.select("profile", "source", "city", "day", "mixed", "minute", "lead", F.split("words", " ").alias("_w"), F.substring_index("who", " ", 1).alias("_own"))
-    first, second = (F.substring(F.get("_w", F.lit(i)), 2, 1 << 20) for i in (0, 1))
+    first, second = (_bare(F.get("_w", F.lit(i))) for i in (0, 1))
     rows = rows.withColumns({"_l0": F.left(first, F.lit(3)), "_r0": F.right(first, F.lit(3)), "_l1": F.left(second, F.lit(3)), "_r1": F.right(second, F.lit(3)), "_two": F.col("lead") > 1})
     none = F.array().cast("array<bigint>")
     key = lambda *c: F.xxhash64("city", "day", *c)
@@ -177,6 +186,10 @@ def _keyed(one: DataFrame) -> DataFrame:
     return rows.select("profile", "source", F.explode(F.concat(whole, F.when(F.col("_two"), two).otherwise(lone), place)).alias("key"))
 
 
+def _bare(w: Column) -> Column:
+    return F.substring(w, SIGNS + 1, 1 << 20)
+
+
 def _weight(w: Column) -> Column:
     return F.pow(F.ascii(w) - 48, F.lit(POWER))
 
@@ -187,7 +200,7 @@ def _size(words: Column) -> Column:
 
 def _near(x: Column, y: Column) -> Column:
     """Likeness of two words by edits; 0 where they differ in more than a part of their letters or MOST_EDITS."""
-    a, b = F.substring(x, 2, 1 << 20), F.substring(y, 2, 1 << 20)
+    a, b = _bare(x), _bare(y)
     edits, most = F.levenshtein(a, b, MOST_EDITS), F.greatest(F.length(a), F.length(b))
     return F.when((edits >= 0) & (edits <= FAR_WORDS * most), 1 - edits / most).otherwise(0.0)
 
@@ -211,35 +224,46 @@ def _same_spot(a: Column, b: Column) -> Column:
     """1 for one address, 0 for two; null where either is missing or lacks a part that the other has."""
     x, y = F.split(a, r"\|"), F.split(b, r"\|")
     part = lambda s, i: F.nullif(s[i], F.lit(""))
-    street = F.when(_near(F.concat(F.lit("0"), part(x, 1)), F.concat(F.lit("0"), part(y, 1))) > 0, 1.0).otherwise(0.0)
+    street = F.when(_near(F.concat(F.lit("00"), part(x, 1)), F.concat(F.lit("00"), part(y, 1))) > 0, 1.0).otherwise(0.0)
     return F.when(x[0] != y[0], 0.0).when(part(x, 2).isNotNull() & part(y, 2).isNotNull(), (x[2] == y[2]).cast("double")).when(part(x, 1).isNotNull() & part(y, 1).isNotNull(), street)
 
 
+def _rarest(a: str, b: str) -> Column:
+    """How rare among all titles the rarest word is that both lists of words have, in classes of an e-fold, counted in
+    twos; a word that is only alike counts one less. 0 where they have none."""
+    often = lambda w: F.ascii(F.substring(w, 2, 1)) - 48
+    step = lambda level: 2 * F.floor(level / STEPS).cast("int")
+    same = F.coalesce(step(F.array_max(F.transform(F.array_intersect(a, b), often))), F.lit(0))
+    least = lambda x, y: F.when(_near(x, y) > 0, F.least(often(x), often(y)))
+    near = F.array_max(F.transform(F.array_except(a, b), lambda x: F.array_max(F.transform(F.array_except(b, a), lambda y: least(x, y)))))
+    return F.when((same >= 2 * (TOP // STEPS)) | (F.col(a) == F.col(b)), same).otherwise(F.greatest(same, step(near) - 1))
+
+
 def vectors(pairs: DataFrame) -> DataFrame:
-    """``a, b`` with the similarities of both sides on the grid, -1 where unknown."""
+    """``a, b`` with the similarities of both sides on the grid and the rarity of what their titles share, -1 where unknown."""
     known = lambda c: F.coalesce(F.split(c, " "), F.array().cast("array<string>"))
     # each step is a projection of its own, so that no list is made twice
-    bare = lambda ws: F.transform(ws, lambda w: F.substring(w, 2, 1 << 20))
+    bare = lambda ws: F.transform(ws, _bare)
     p = pairs.withColumns({"_a": F.split("a_words", " "), "_b": F.split("b_words", " "), "_v": known("a_who"), "_w": known("b_who")})
     # a title's own house stands behind its other words; only the words of another house need looking for
     p = p.withColumns({f"_{s}": F.slice(f"_{s}", F.lit(1), F.col(f"{s}_own")) for s in "ab"})
-    without = lambda own, house: F.filter(own, lambda w: ~F.array_contains(house, F.substring(w, 2, 1 << 20)))
+    without = lambda own, house: F.filter(own, lambda w: ~F.array_contains(house, _bare(w)))
     for s, other in (("a", "_w"), ("b", "_v")):
         plain = (F.size(other) == 0) | F.col("a_who").eqNullSafe(F.col("b_who"))
         p = p.withColumn(f"_{s}", F.when(plain, F.col(f"_{s}")).otherwise(without(F.col(f"_{s}"), bare(F.col(other)))))
     kind = lambda c: ~F.exists(c, lambda w: F.ascii(w) - 48 >= KIND_LEVEL)
     p = p.withColumns({f"_n{c}": _size(F.col(f"_{c}")) for c in "abvw"})
-    p = p.withColumns({"_title": _overlap("_a", "_b", "_na", "_nb"), "_name": _overlap("_v", "_w", "_nv", "_nw"), "_spot": _same_spot(F.col("a_spot"), F.col("b_spot"))})
+    p = p.withColumns({"_title": _overlap("_a", "_b", "_na", "_nb"), "_name": _overlap("_v", "_w", "_nv", "_nw"), "_spot": _same_spot(F.col("a_spot"), F.col("b_spot")), "_rare": _rarest("_a", "_b")})
     # kinds of event named in two languages need share no word: nothing is known of such titles
     p = p.withColumn("_title", F.when(kind("_a") & kind("_b") & ~F.col("a_lang").eqNullSafe(F.col("b_lang")) & (F.col("_title") < 0.5), None).otherwise(F.col("_title")))
-    told = lambda who, words: (F.size(who) > 0) & F.array_contains(bare(F.split(words, " ")), F.substring(F.get(who, F.lit(0)), 2, 1 << 20))
+    told = lambda who, words: (F.size(who) > 0) & F.array_contains(bare(F.split(words, " ")), _bare(F.get(who, F.lit(0))))
     seen = F.when(told("_v", "b_words") | told("_w", "a_words"), 0.95)
     n, s = F.col("_name"), F.col("_spot")
     place = F.when(n.isNotNull() & s.isNotNull(), (F.greatest(n, s) + (n + s) / 2) / 2).otherwise(F.coalesce(n, s, seen))
     gap = F.abs(F.col("a_minute") - F.col("b_minute")) / HALF_MINUTES
     time = 1 / (1 + gap * gap * gap * gap)
     on = lambda c: F.coalesce(F.round(c * GRID).cast("int"), F.lit(-1))
-    return p.select("a", "b", on(F.col("_title")).alias("title"), on(place).alias("place"), on(time).alias("time"))
+    return p.select("a", "b", on(F.col("_title")).alias("title"), on(place).alias("place"), on(time).alias("time"), F.when(F.col("_title").isNull(), -1).otherwise(F.col("_rare")).alias(RARITY))
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -263,16 +287,18 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 class Mixture:
     """Gaussians over vectors with missing parts (NaN): one of matched pairs, and one of unmatched pairs for each
-    feature, which begins at the corner where only that feature is unlike. ``fit`` by expectation-maximisation."""
+    feature, which begins at the corner where only that feature is unlike. Vectors of one class share the weights of the
+    Gaussians; those of the unknown class -1 take the weights over all. ``fit`` by expectation-maximisation."""
 
-    def __init__(self, x: np.ndarray, n: np.ndarray, floor: float = 2e-3, pull: float = 0.15) -> None:
+    def __init__(self, x: np.ndarray, n: np.ndarray, classes: np.ndarray | None = None, floor: float = 2e-3, pull: float = 0.15) -> None:
         self.x, self.n, self.floor, self.pull = x, n, floor, pull
+        self.classes = np.full(len(x), -1) if classes is None else classes
         self.kinds: dict[tuple, list[int]] = {}
         for i, known in enumerate(~np.isnan(x)):
             self.kinds.setdefault(tuple(known), []).append(i)
         d = x.shape[1]
         self.corners = np.vstack([np.ones(d), 1 - np.eye(d)])
-        self.parts = [(1.0, c, 0.1 * np.eye(d)) for c in self.corners]
+        self.parts = [(np.ones(self.classes.max(initial=-1) + 2), c, 0.1 * np.eye(d)) for c in self.corners]
 
     def _look(self, part: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Log density of what is known, expected vectors and their covariances."""
@@ -295,24 +321,36 @@ class Mixture:
 
     def _expect(self) -> tuple[np.ndarray, np.ndarray]:
         """Log-odds of a match, and the shares of the unmatched Gaussians among themselves."""
-        dens = np.array([math.log(p[0]) + self._look(p)[0] for p in self.parts])
+        dens = np.array([np.log(p[0][self.classes]) + self._look(p)[0] for p in self.parts])
         top = dens[1:].max(0)
         other = np.exp(dens[1:] - top)
         return np.clip(dens[0] - top - np.log(other.sum(0)), -15, 15), other / other.sum(0)
 
     def _maximise(self, g: np.ndarray, shares: np.ndarray) -> None:
+        size = len(self.parts[0][0])
+        at = self.classes % size
+        weights = [self.n * r for r in (g, *((1 - g) * shares))]
+        # the unmatched of a class shape the Gaussians by no more weight than its matched, however many they are
+        same, other = (np.bincount(at, self.n * r, size) + 1 for r in (g, 1 - g))
+        least = np.minimum(1, same / other)[at]
+        # so many pairs at each corner are taken as known
+        known = max(1.0, KNOWN * weights[0].sum())
         got = []
-        for part, r, corner in zip(self.parts, [g, *((1 - g) * shares)], self.corners):
+        for w, part, corner in zip([weights[0], *(w * least for w in weights[1:])], self.parts, self.corners):
             _, full, extra = self._look(part)
-            w = self.n * r
-            # one pair at the corner is taken as known
-            mean = ((w[:, None] * full).sum(0) + corner) / (w.sum() + 1)
+            mean = ((w[:, None] * full).sum(0) + known * corner) / (w.sum() + known)
             off = full - mean
-            cov = ((w[:, None, None] * (np.einsum("ij,ik->ijk", off, off) + extra)).sum(0) + np.outer(corner - mean, corner - mean)) / (w.sum() + 1)
-            got.append((w.sum() + 1, mean, cov))
+            cov = ((w[:, None, None] * (np.einsum("ij,ik->ijk", off, off) + extra)).sum(0) + known * np.outer(corner - mean, corner - mean)) / (w.sum() + known)
+            got.append((mean, cov))
         # one regulariser for all, so that no Gaussian is the narrower for having nothing to tell apart in a feature
-        far = np.mean([(got[0][1] - mean) ** 2 for _, mean, _ in got[1:]], axis=0)
-        self.parts = [(w, mean, cov + np.diag(self.pull * far + self.floor)) for w, mean, cov in got]
+        far = np.mean([(got[0][0] - mean) ** 2 for mean, _ in got[1:]], axis=0)
+        total = np.array([w.sum() + 1 for w in weights])
+        self.parts = []
+        for w, t, (mean, cov) in zip(weights, total, got):
+            # in each class one pair is taken to be as pairs are over all; the last weight is that over all
+            own = np.bincount(at, w, size) + t / total.sum()
+            own[-1] = t
+            self.parts.append((own, mean, cov + np.diag(self.pull * far + self.floor)))
 
     def fit(self, settle=None, rounds: int = 1000, tolerance: float = 1e-4) -> np.ndarray:  # noqa: ANN001
         """Log-odds by vector. ``settle`` turns log-odds into the mean posterior of each vector's pairs (transitivity)."""
@@ -320,7 +358,8 @@ class Mixture:
         for _ in range(rounds):
             odds, shares = self._expect()
             g = 1 / (1 + np.exp(-odds)) if settle is None else settle(odds)
-            moved = float((np.abs(g - before) * self.n).sum() / self.n.sum())
+            # as a share of the matched pairs, however many others there are
+            moved = float((np.abs(g - before) * self.n).sum() / max((g * self.n).sum(), 1.0))
             if moved < tolerance:
                 return odds
             before = g
@@ -372,16 +411,16 @@ def scored(pairs: DataFrame) -> DataFrame:
     """``a, b, posterior`` of each candidate pair after the mixture has settled under transitivity."""
     spark = pairs.sparkSession
     code = F.lit(0)
-    for f in FEATURES:
+    for f in (*FEATURES, RARITY):
         code = code * (GRID + 2) + F.col(f) + 1
-    pairs = pairs.select("a", "b", *FEATURES, code.alias("cell"))
-    counts = pairs.groupBy("cell", *FEATURES).agg(F.count("*").alias("n")).orderBy("cell").collect()  # at most (GRID + 2) ** 3 rows
+    pairs = pairs.select("a", "b", *FEATURES, RARITY, code.alias("cell"))
+    counts = pairs.groupBy("cell", *FEATURES, RARITY).agg(F.count("*").alias("n")).orderBy("cell").collect()  # at most (GRID + 2) ** 4 rows
     if not counts:
         return pairs.select("a", "b", F.lit(0.0).alias("posterior"))
     at = {r.cell: i for i, r in enumerate(counts)}
     x = np.array([[np.nan if r[f] < 0 else r[f] / GRID for f in FEATURES] for r in counts])
     n = np.array([r.n for r in counts], dtype=float)
-    mix = Mixture(x, n)
+    mix = Mixture(x, n, np.array([r[RARITY] for r in counts], dtype=int))
     odds = mix.fit()
     table = lambda o: F.broadcast(spark.createDataFrame([(int(c), float(o[i])) for c, i in at.items()], "cell int, odds double"))
     known = pairs.select("a", "b", "cell").join(table(odds), "cell")

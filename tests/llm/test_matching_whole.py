@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from kiosko.llm import matching
 
@@ -70,3 +72,14 @@ def test_two_runs_agree_and_extra_columns_do_not_matter(spark):
     df = spark.createDataFrame(rows, f"ordinal long, source_id string, title string, start_raw string, venue {V}, profile string")
     a, b = (sorted(map(tuple, matching.matched(df, registry(spark)).collect())) for _ in range(2))
     assert a == b and [x[:2] for x in a] == [(2 * k, 2 * k + 1) for k in range(10)]
+
+
+def test_names_without_a_place_match_on_a_day_full_of_one_kind_of_event(spark):
+    rng = random.Random(4)
+    name = lambda: "".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5))
+    houses, shows = [f"Zaal {name()}" for _ in range(200)], [f"{name()} {name()}" for _ in range(20)]
+    rows = [(s, "Speelmiddag", f"2026-03-01 {9 + k % 12:02d}:{5 * (k % 11):02d}", (h, None, "Madrid")) for s in ("s2", "s3") for k, h in enumerate(houses)]
+    rows += [(s, t, "2026-03-01 20:00", None) for s in ("s2", "s3") for t in shows]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"ordinal long, source_id string, title string, start_raw string, venue {V}")
+    got = {(r.ordinal_a, r.ordinal_b) for r in matching.matched(df, registry(spark)).collect()}
+    assert got == {(k, 200 + k) for k in range(200)} | {(400 + k, 420 + k) for k in range(20)}
